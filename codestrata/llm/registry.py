@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from codestrata.llm import decontaminate
+from codestrata.llm import chat_format, decontaminate, sharding
 
 
 def queries():
     return {
+        "op2_chat_format": chat_format.op2_chat_format,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op9_sharding": sharding.op9_sharding,
     }
 
 
 def oracle_sql():
     return {
+        "op2_chat_format": chat_format.SQL,
         "op3_decontaminate": decontaminate.SQL,
+        "op9_sharding": sharding.SQL,
     }
