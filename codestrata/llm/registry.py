@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import chat_format, decontaminate, sharding
+from codestrata.llm import chat_format, decontaminate, minhash, sharding
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op9_sharding": sharding.op9_sharding,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
@@ -18,4 +19,5 @@ def oracle_sql():
         "op2_chat_format": chat_format.SQL,
         "op3_decontaminate": decontaminate.SQL,
         "op9_sharding": sharding.SQL,
+        "op10_minhash": minhash.SQL,
     }
