@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from codestrata.llm import chat_format, decontaminate, minhash, sharding
+from codestrata.llm import chat_format, decontaminate, minhash, sharding, toxicity
 
 
 def queries():
     return {
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op9_sharding": sharding.op9_sharding,
         "op10_minhash": minhash.op10_minhash,
     }
