@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import chat_format, decontaminate, minhash, sharding, toxicity
+from codestrata.llm import chat_format, decontaminate, minhash, mixing, sharding, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_mixing": mixing.op7_mixing,
         "op9_sharding": sharding.op9_sharding,
         "op10_minhash": minhash.op10_minhash,
     }
