@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from codestrata.llm import chat_format, decontaminate, minhash, mixing, sharding, toxicity
+from codestrata.llm import chat_format, decontaminate, minhash, mixing, secret_scan, sharding, toxicity
 
 
 def queries():
     return {
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_mixing": mixing.op7_mixing,
         "op9_sharding": sharding.op9_sharding,
