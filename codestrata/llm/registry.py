@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codestrata.llm import chat_format, decontaminate, minhash, mixing, secret_scan, sharding, toxicity
+from codestrata.llm import chat_format, decontaminate, lm_scoring, minhash, mixing, secret_scan, sharding, toxicity
 
 
 def queries():
     return {
+        "op1_lm_scoring": lm_scoring.op1_lm_scoring,
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_secret_scan": secret_scan.op5_secret_scan,
