@@ -43,11 +43,11 @@ from pyspark.sql import functions as F
 from codestrata.llm import textkit as tk
 from codestrata.llm.shared import crc_mod, written
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CLASSES = 128
-OWN_CLASS = 95  #: ids with a class each; END has one more
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+CLASSES = 192
+OWN_CLASS = 160  #: ids with a class each; END has one more
 DIM, WINDOW, STRIDE = 16, 32, 24
-WARM_DOCS, WARM_STEPS = 400, 600
+WARM_DOCS, WARM_STEPS = 400, 1500
 TRAIN_SHARE = 24
 BATCH_WINDOWS = 256
 FREQUENT = 1 << 16
@@ -158,12 +158,13 @@ def score_classes(p: Params, cls: np.ndarray, first: np.ndarray, count: np.ndarr
     text = np.repeat(np.arange(len(count)), n)
     out = np.zeros(len(count))
     ones = np.ones(CLASSES, dtype=np.float32)
+    head = np.concatenate([p["U"], p["b"][None]])
     for s in range(0, len(inputs), BATCH_WINDOWS):
         h, _ = attend(p, inputs[s : s + BATCH_WINDOWS])
         ok = scored[s : s + BATCH_WINDOWS]
-        z = h[ok] @ p["U"]
-        z += p["b"]
-        np.clip(z, -60, 60, out=z)
+        one = np.ones((int(ok.sum()), DIM + 1), dtype=np.float32)
+        one[:, :DIM] = h[ok]
+        z = one @ head
         t = targets[s : s + BATCH_WINDOWS][ok]
         own = z[np.arange(len(t)), t].astype(np.float64)
         np.exp(z, out=z)

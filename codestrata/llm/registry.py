@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import chat_format, decontaminate, lm_scoring, minhash, mixing, secret_scan, sharding, toxicity
+from codestrata.llm import chat_format, decontaminate, lm_scoring, minhash, mixing, pii, secret_scan, sharding, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_lm_scoring": lm_scoring.op1_lm_scoring,
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_pii": pii.op4_pii,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_mixing": mixing.op7_mixing,
