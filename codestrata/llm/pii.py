@@ -136,7 +136,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     loose = F.coalesce(F.transform("loose__pii", lambda x: _described(x, text, 0)), none)
     numbers = F.coalesce(F.transform("numbers__pii", lambda x: _described(x, text, 1)), none)
     d = d.withColumn("proposed__pii", F.concat(loose, numbers))
-    confirmed = lambda p: F.exists("base__pii", lambda b: (b["start"] <= p["start"] + 1) & (b["end"] >= p["end"]) & (b["start"] >= p["start"] - 1))
+    confirmed = lambda p: F.exists("base__pii", lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"]))
     rows = F.transform("proposed__pii", lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"), p["f"].alias("f"), confirmed(p).alias("confirmed")))
     half = F.pmod(F.xxhash64(F.lit(5), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(2))
     return d.select("doc_id", F.col("base__pii").alias("base"), rows.alias("proposed"), half.alias("half"))
