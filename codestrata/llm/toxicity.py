@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from codestrata.llm import textkit as tk
 from codestrata.llm.shared import crc_mod
 
-MAX_TOXIC, MAX_CLEAN = 3000, 5000
+MAX_TOXIC, MAX_CLEAN = 1200, 2000
 LANDMARKS = 192
 DECAY = 0.7
 SPAN = 5
