@@ -5,13 +5,13 @@
    the set itself does not.
 2. Documents of equal sets form a class; its smallest doc_id stands for it from here on, so
    copies are never paired.
-3. Inverted lists of retained values: the key is a run of ``RUN`` neighbouring values of a
-   sketch (a run of one document's passage rarely recurs, a near copy keeps many). Two
-   sets with Jaccard 0.8 miss each other with a probability under 1e-7 at k = 48, and never
-   while the sketch holds the whole set; sets of at most ``SMALL`` also use shorter runs.
-4. Candidates come from pivots, not from pairs: in each list every member meets the smallest
-   one, and after links are merged, lists that still hold several components go on
-   with twice as many further pivots a round, until none is untested. The union sketch
+3. Inverted lists of retained values. Two sets with Jaccard 0.8 share at least ``SHARED`` of
+   48 retained values (but for a chance under 1e-6; 0.8 of them, surely, where the sketch is
+   the whole set), so each document is listed only under its rarest ``k - SHARED + 1``
+   values: passages that many documents hold rarely bring two of them together.
+4. Candidates come from pivots, not from pairs: in each list every member meets the one with
+   the longest lists (of a text and its edited copies, the text), and after links are merged, lists that still hold several components go on
+   with ``GROWTH`` times as many further pivots a round, until none is untested. The union sketch
    estimates Jaccard and filters; exact Jaccard on full sets confirms every link.
 5. Components: smallest label reachable, by rounds over written tables.
 
@@ -35,8 +35,11 @@ from codestrata.llm import textkit as tk
 from codestrata.llm.shared import written
 
 SKETCH = 48
-RUN = 3
-SMALL = 9
+#: Of SKETCH values, so many are shared at least at Jaccard 0.8: mean 38, over five standard deviations away.
+SHARED = 24
+FILTER_BITS = 1 << 23
+#: Each round has so many times the pivots of the one before.
+GROWTH = 8
 #: The estimate must come within this of the threshold; about four standard errors at k = 48.
 SLACK = 0.25
 
@@ -69,9 +72,11 @@ def sketches(docs: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
     return ids.mapInArrow(_sketches(width, k), "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>")
 
 
-def _sets(width: int):
+def _sets(width: int, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = batch.column("slot").fill_null(0).to_numpy()
+            batch = batch.filter(pa.array(wanted[slot]))
             for row, rows, offsets, data in tk.chunks(batch.column("text")):
                 owner, value = tk.shingles(tk.words(offsets, data, tk.NOT_SPACE), width)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, rows), tk.list_array(np.bincount(owner, minlength=rows), pa.array(value.view(np.int64)))], names=["rep", "values"])
@@ -79,90 +84,126 @@ def _sets(width: int):
     return run
 
 
-def _keys(sketch: Column, n: Column) -> Column:
-    """Runs of neighbouring retained values; small sets also have runs of two, and one-shingle sets are exact classes already."""
-    run = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sketch) - (RUN - 1), F.lit(1))), lambda i: F.xxhash64(F.lit(RUN), F.slice(sketch, i, RUN)))
-    two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sketch) - 1, F.lit(1))), lambda i: F.xxhash64(F.lit(2), F.slice(sketch, i, 2)))
-    none = F.array().cast("array<bigint>")
-    return F.array_distinct(F.concat(F.when(F.size(sketch) >= RUN, run).otherwise(none), F.when((n <= SMALL) & (F.size(sketch) >= 2), two).otherwise(none)))
+def _slots(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(17), doc_id), F.lit(FILTER_BITS)).cast("int")
 
 
-def near_links(spark: SparkSession, docs: DataFrame, width: int, threshold: float = 0.8, k: int = SKETCH) -> tuple[DataFrame, DataFrame]:
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bit for the slot of each doc_id: FILTER_BITS bits at the driver, however many ids there are."""
+    slot = _slots(F.col("doc_id"))
+    words = ids.select((F.shiftright(slot, 6)).alias("w"), F.expr("1L").alias("one"), (slot % 64).alias("b")).select("w", F.call_function("shiftleft", "one", "b").alias("v"))
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in words.groupBy("w").agg(F.bit_or("v").alias("v")).toLocalIterator():
+        out[r["w"]] = r["v"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def near_links(spark: SparkSession, docs: DataFrame, width: int, threshold: float = 0.8, k: int = SKETCH) -> tuple[DataFrame, DataFrame | None]:
     """(members: doc_id, n_shingles, rep; labels: rep, label for every class that links with another)."""
     sk = written(spark, sketches(docs, width, k), "sketches")
     real = sk.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     set_key = ["set_a", "set_b", "n_shingles"]
-    classes = real.groupBy(*set_key).agg(F.min("doc_id").alias("rep"))
+    classes = written(spark, real.groupBy(*set_key).agg(F.min("doc_id").alias("rep")), "classes")
     same = real.select("doc_id", *set_key).join(classes, set_key).select("doc_id", "rep").distinct()
-    same = written(spark, same, "classes")
+    same = written(spark, same, "members")
     # a doc_id of several rows may be in several classes: those are one document
-    joined = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
-    multi = same.join(joined.select("doc_id"), "doc_id", "left_semi").join(joined.select("doc_id", "a"), "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
-    reps = real.join(same.filter("doc_id = rep").select(F.col("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", *set_key[:2])
-    own = classes.select("rep", *set_key[:2])
-    reps = written(spark, reps.join(own, ["rep", *set_key[:2]], "left_semi").select("rep", "n", "sketch").dropDuplicates(["rep", "n"]), "reps")
-
-    entries = reps.select("rep", "n", F.explode(_keys(F.col("sketch"), F.col("n"))).alias("key"))
-    many = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    order = Window.partitionBy("key").orderBy("rep", "n")
-    listed = entries.join(many, "key").withColumn("rank", F.row_number().over(order))
-    listed = written(spark, listed.withColumn("pivot", F.first("rep").over(order)).withColumn("pivot_n", F.first("n").over(order)), "lists")
-
-    links = written(spark, multi, "links")
-    pairs = listed.filter("rank > 1 AND rep <> pivot").select(F.col("pivot").alias("a"), F.col("pivot_n").alias("an"), F.col("rep").alias("b"), F.col("n").alias("bn"))
+    joined = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("doc_id", "a")
+    multi = same.join(joined, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    own = classes.withColumnRenamed("rep", "doc_id")
+    reps = real.join(own, ["doc_id", *set_key], "left_semi").dropDuplicates(["doc_id", *set_key])
+    reps = written(spark, reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch"), "reps")
+
+    entries = reps.select("rep", "n", F.explode("sketch").alias("key"))
+    many = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = entries.join(many, "key")
+    # values of its own come first in a document's order of rarity
+    kept_size = F.least(F.col("n"), F.lit(k))
+    need = F.when(F.col("n") <= k, F.ceil(kept_size * threshold - 1e-9)).otherwise(F.lit(SHARED * k // SKETCH))
+    of_rep = Window.partitionBy("rep", "n")
+    shared = shared.withColumn("alone", kept_size - F.count("*").over(of_rep)).withColumn("place", F.row_number().over(of_rep.orderBy("size", "key")))
+    shared = shared.withColumn("degree", F.sum("size").over(of_rep)).filter(F.col("place") + F.col("alone") <= kept_size - need + 1)
+    order = Window.partitionBy("key").orderBy(F.desc("degree"), "rep", "n")
+    whole = Window.partitionBy("key")
+    listed = shared.select("key", "rep", "n", F.row_number().over(order).alias("rank"), F.count("*").over(whole).alias("size"), F.first("rep").over(order).alias("pivot"), F.first("n").over(order).alias("pivot_n"))
+    listed = written(spark, listed.filter("size > 1"), "lists")
+    alike = F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn")
+    pairs = listed.filter("rank > 1 AND rep <> pivot").select(F.col("pivot").alias("a"), F.col("pivot_n").alias("an"), F.col("rep").alias("b"), F.col("n").alias("bn")).filter(alike)
+
+    labels = merged(spark, None, multi)
     tested: DataFrame | None = None
-    labels = components(spark, links)
-    from_rank, to_rank = 1, 1
+    last = 1
     while True:
-        pairs = pairs.filter((F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn"))).select("a", "b").distinct()
-        pairs = written(spark, pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = _verified(spark, docs, reps, pairs, width, threshold, k)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(found)
-        labels = components(spark, links)
-        # lists whose members are not all in one component go on
-        at = listed.select("key", "rep", "n", "rank").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rank").alias("size")).filter((F.col("lo") != F.col("hi")) & (F.col("size") > to_rank + 1))
-        listed = written(spark, at.join(open_keys.select("key"), "key", "left_semi"), "open")
+        likely = _likely(reps, pairs.select("a", "b").distinct(), threshold, k)
+        likely = written(spark, likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "likely")
+        if not likely.isEmpty():
+            tested = likely if tested is None else tested.unionByName(likely)
+            labels = merged(spark, labels, _exact(spark, docs, likely, width, threshold))
+            at = listed.join(labels, "rep", "left").select("key", "rep", "n", "rank", "size", F.coalesce("label", "rep").alias("label")) if labels is not None else listed.withColumn("label", F.col("rep"))
+            # lists whose members are not all in one component go on
+            open_keys = at.filter(F.col("size") > last + 1).groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+            members = at.join(open_keys.select("key"), "key", "left_semi")
+        else:
+            members = (listed if "label" in listed.columns else listed.withColumn("label", F.col("rep"))).filter(F.col("size") > last + 1)
+        listed = written(spark, members.select("key", "rep", "n", "rank", "size", "label"), "open")
         if listed.isEmpty():
             return sk.select("doc_id", "n_shingles").join(same.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left"), labels
-        from_rank, to_rank = to_rank + 1, 2 * to_rank + 1
-        pivots = listed.filter(F.col("rank").between(from_rank, to_rank)).select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("rank").alias("ar"), F.col("label").alias("al"))
+        first, last = last + 1, last * GROWTH + 1
+        pivots = listed.filter(F.col("rank").between(first, last)).select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("rank").alias("ar"), F.col("label").alias("al"))
         others = listed.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("rank").alias("br"), F.col("label").alias("bl"))
-        listed = listed.drop("label")
-        near = F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn")
-        pairs = pivots.join(others, "key").filter((F.col("br") > F.col("ar")) & (F.col("al") != F.col("bl")) & (F.col("a") != F.col("b")) & near).select("a", "an", "b", "bn")
+        listed = listed.drop("label") if labels is not None else listed
+        pairs = pivots.join(others, "key").filter((F.col("br") > F.col("ar")) & (F.col("al") != F.col("bl")) & (F.col("a") != F.col("b")) & alike)
 
 
-def _verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, threshold: float, k: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the Jaccard similarity."""
-    one = reps.groupBy("rep").agg(F.first("sketch").alias("sketch"), F.max("n").alias("n"))
+def _likely(reps: DataFrame, pairs: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The pairs whose union sketch estimates a similarity near or above the threshold."""
+    one = reps.groupBy("rep").agg(F.first("sketch").alias("sketch"))
     s = pairs.join(one.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(one.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    both = F.array_intersect("sa", "sb")
-    # unsigned order: flip the sign bit
-    union = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), lambda v: v.bitwiseXOR(F.lit(-(2**63))))), 1, k)
-    common = F.size(F.array_intersect(union, F.transform(both, lambda v: v.bitwiseXOR(F.lit(-(2**63))))))
-    likely = written(spark, s.filter(common >= F.lit(threshold - SLACK) * F.size(union)).select("a", "b"), "likely")
+    # sketches are in unsigned order: flip the sign bit to sort the union alike
+    flip = lambda v: v.bitwiseXOR(F.lit(-(2**63)))
+    union = F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), flip)), 1, k)
+    common = F.size(F.array_intersect(union, F.transform(F.array_intersect("sa", "sb"), flip)))
+    return s.filter(common >= F.lit(threshold - SLACK) * F.size(union)).select("a", "b")
+
+
+def _exact(spark: SparkSession, docs: DataFrame, likely: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose full sets have the Jaccard similarity."""
     ends = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ends, "doc_id", "left_semi")
-    sets = written(spark, texts.mapInArrow(_sets(width), "rep long, values array<long>"), "sets")
+    ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = ids.withColumn("slot", _slots(F.col("doc_id")))
+    # most texts leave here, in place; the join below drops the few that only share a slot
+    sets = written(spark, texts.mapInArrow(_sets(width, _filter_of(ends)), "rep long, values array<long>").join(ends, F.col("rep") == F.col("doc_id"), "left_semi"), "sets")
     v = likely.join(sets.select(F.col("rep").alias("b"), F.col("values").alias("vb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("values").alias("va")), "a")
     inter = F.size(F.array_intersect("va", "vb")).cast("long")
     total = F.size("va").cast("long") + F.size("vb").cast("long") - inter
     exact = F.lit(100).cast("long") * inter >= F.lit(round(threshold * 100)).cast("long") * total
-    return written(spark, v.filter((total > 0) & exact).select("a", "b").distinct(), "links")
-
-
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """rep, label (smallest rep reachable) for every end of a link: neighbours' minimum, then label of the label, until nothing changes."""
-    edges = written(spark, links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    return v.filter((total > 0) & exact).select("a", "b")
+
+
+def merged(spark: SparkSession, labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels (rep, label: smallest rep reachable) with further links (a, b); None stands for no links at all."""
+    pairs = links.select("a", "b").distinct()
+    if labels is not None:
+        side = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias(f"{c}_label"))
+        pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).filter("a <> b").distinct()
+    edges = written(spark, pairs.union(pairs.select("b", "a")), "edges")
+    if edges.isEmpty():
+        return labels
+    roots = components(spark, edges)
+    if labels is None:
+        return roots
+    named = roots.select(F.col("rep").alias("label"), F.col("label").alias("root"))
+    moved = labels.join(named, "label", "left").select("rep", F.coalesce("root", "label").alias("label"))
+    return written(spark, moved.unionByName(roots.join(labels, "rep", "left_anti")), "labels")
+
+
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """rep, label (smallest rep reachable) for every end of edges (a, b), given in both directions: neighbours' minimum, then label of the label, until nothing changes."""
     labels = written(spark, edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "rep"), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("rep")).groupBy("a").agg(F.min("label").alias("seen")).withColumnRenamed("a", "rep")
         nxt = labels.join(near, "rep").select("rep", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        up = nxt.select(F.col("rep").alias("label"), F.col("label").alias("root"))
-        nxt = nxt.join(up, "label", "left").select("rep", "old", F.least("label", F.coalesce("root", "label")).alias("label"))
-        nxt = written(spark, nxt, "labels")
+        up = labels.select(F.col("rep").alias("label"), F.col("label").alias("root"))
+        nxt = written(spark, nxt.join(up, "label", "left").select("rep", "old", F.least("label", F.coalesce("root", "label")).alias("label")), "labels")
         labels = nxt.select("rep", "label")
         if nxt.filter("old <> label").isEmpty():
             return labels
@@ -171,7 +212,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     members, labels = near_links(spark, docs, width, threshold, k)
-    out = members.join(labels, "rep", "left").withColumn("component_id", F.coalesce("label", "rep", "doc_id"))
+    out = (members.withColumn("label", F.col("rep")) if labels is None else members.join(labels, "rep", "left")).withColumn("component_id", F.coalesce("label", "rep", "doc_id"))
     # the smallest doc_id of a component is the smallest of its classes' representatives
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
