@@ -103,6 +103,68 @@ def details(parsed: DataFrame, field: str) -> DataFrame:
     return parsed.select("repo_id", F.col("path").alias("file_path"), F.posexplode(F.col("detail")[field]).alias("ord", "f")).select("repo_id", "file_path", "ord", "f.*")
 
 
+def fact_table(parsed: DataFrame) -> DataFrame:
+    """All facts as rows (repo_id, file_path, kind, name, extra): one pass, one explode."""
+    text = F.array().cast("array<struct<kind:string,name:string,extra:string>>")
+    commas = lambda a: F.coalesce(F.array_join(a, ",", "null"), F.lit(""))
+    nil = lambda c: F.coalesce(c, F.lit(""))
+
+    def rows(array: Column, kind: str, name, extra) -> Column:
+        return F.coalesce(F.transform(array, lambda x: F.struct(F.lit(kind).alias("kind"), nil(name(x)).alias("name"), nil(extra(x)).alias("extra"))), text)
+
+    def inner(array: Column, fn) -> Column:
+        return F.coalesce(F.flatten(F.transform(array, fn)), text)
+
+    cols = lambda t: F.array_join(F.transform(t["columns"], lambda c: F.concat(c["name"], F.lit(" "), c["type"], F.when(c["nullable"], "").otherwise(" not null"))), ",")
+    par = lambda ps: F.array_join(F.transform(ps, lambda p: F.concat_ws(" ", p["mode"], p["name"], p["type"])), ",")
+    d = F.col("detail")
+    pairs = lambda f, kind: rows(d[f], kind, lambda x: x["key"], lambda x: x["value"])
+    parts = [
+        rows(F.col("imports"), "import", lambda x: F.coalesce(x["source"], x["spec"]), lambda x: x["alias"]),
+        rows(F.col("exports"), "export", lambda x: x["name"], lambda x: x["kind"]),
+        rows(F.col("functions"), "function", lambda x: x["name"], lambda x: commas(x["params"])),
+        rows(F.col("classes"), "class", lambda x: x["name"], lambda x: x["extends"]),
+        inner(F.col("classes"), lambda c: rows(c["methods"], "method", lambda m: m["name"], lambda m: F.concat(c["name"], F.lit(":"), commas(m["params"])))),
+        inner(F.col("classes"), lambda c: F.coalesce(F.transform(c["fields"], lambda f: F.struct(F.lit("field").alias("kind"), f.alias("name"), c["name"].alias("extra"))), text)),
+        inner(F.col("classes"), lambda c: rows(c["constants"], "constant", lambda k: k["name"], lambda k: k["value"])),
+        rows(F.col("routes"), "route", lambda x: x["path"], lambda x: x["method"]),
+        rows(F.col("tables"), "table", lambda x: x["name"], cols),
+        inner(F.col("tables"), lambda t: rows(t["primaryKey"], "primary key", lambda k: t["name"], lambda k: commas(k["definition"]))),
+        inner(F.col("tables"), lambda t: rows(t["foreignKeys"], "foreign key", lambda k: t["name"], lambda k: F.concat(commas(k["definition"]), F.lit("->"), k["reference"]["table"], F.lit("("), commas(k["reference"]["columns"]), F.lit(")"), F.coalesce(F.concat(F.lit(" on delete "), k["reference"]["onDelete"]), F.lit(""))))),
+        inner(F.col("tables"), lambda t: rows(t["uniqueConstraints"], "unique", lambda k: t["name"], lambda k: commas(k["definition"]))),
+        rows(F.col("views"), "view", lambda x: x["name"], lambda x: x["select"]),
+        rows(F.col("indexes"), "index", lambda x: x["name"], lambda x: F.concat(x["table"], F.lit("("), commas(x["columns"]), F.lit(")"))),
+        rows(F.col("storedProcedures"), "procedure", lambda x: x["name"], lambda x: par(x["params"])),
+        rows(F.filter("functions", lambda f: f["routineParams"].isNotNull()), "routine", lambda x: x["name"], lambda x: F.concat(par(x["routineParams"]), F.coalesce(F.concat(F.lit(" -> "), x["returnType"]), F.lit("")))),
+        rows(F.col("triggers"), "trigger", lambda x: x["name"], lambda x: F.concat_ws(" ", x["timing"], x["event"], x["table"])),
+        rows(F.col("databases"), "database", lambda x: x["name"], lambda x: F.lit("")),
+        rows(F.col("inserts"), "insert", lambda x: x["table"], lambda x: commas(x["columns"])),
+        rows(F.col("updates"), "update", lambda x: x["table"], lambda x: F.array_join(F.transform(x["set"], lambda s: F.concat_ws("=", s["column"], s["value"])), ",")),
+        rows(F.col("deletes"), "delete", lambda x: commas(x["from"]), lambda x: x["where"]),
+        rows(F.col("selects"), "select", lambda x: commas(x["from"]), lambda x: F.concat(F.array_join(F.transform(x["columns"], lambda c: F.concat_ws(" as ", c["column"], c["alias"])), ","), F.coalesce(F.concat(F.lit(" limit "), x["limit"]), F.lit("")))),
+        inner(F.col("alterTables"), lambda a: rows(a["operations"], "alter", lambda o: a["table"], lambda o: F.concat_ws(" ", o["action"], o["resource"], o["column"], o["constraint"], o["newName"]))),
+        rows(F.col("drops"), "drop", lambda x: commas(x["names"]), lambda x: x["keyword"]),
+        rows(F.col("comments"), "comment", lambda x: x["content"], lambda x: F.concat_ws(":", x["type"], x["line"].cast("string"))),
+        rows(d["projects"], "project", lambda x: x["name"], lambda x: F.concat_ws(" ", x["path"], x["type"])),
+        rows(d["packages"], "package", lambda x: x["name"], lambda x: x["version"]),
+        rows(d["connectionStrings"], "connection", lambda x: x["name"], lambda x: x["connectionString"]),
+        pairs("appSettings", "setting"),
+        rows(d["uiComponents"], "component", lambda x: x["name"], lambda x: F.concat_ws("<", x["type"], x["parentType"])),
+        inner(d["sections"], lambda s: rows(s["keys"], "key", lambda k: F.concat_ws(".", s["name"], k["key"]), lambda k: k["value"])),
+        rows(d["dependencies"]["normal"], "dependency", lambda x: x["name"], lambda x: x["version"]),
+        rows(d["dependencies"]["dev"], "dev-dependency", lambda x: x["name"], lambda x: x["version"]),
+        rows(d["dependencies"]["build"], "build-dependency", lambda x: x["name"], lambda x: x["version"]),
+        rows(d["features"], "feature", lambda x: x["key"], lambda x: commas(x["value"])),
+        rows(d["lockPackages"], "locked", lambda x: x["name"], lambda x: x["version"]),
+        pairs("registries", "registry"),
+        pairs("aliases", "alias"),
+        rows(F.filter(F.array(d), lambda x: x["rootPackage"].isNotNull()), "root", lambda x: x["rootPackage"], lambda x: F.lit("")),
+        rows(F.filter(F.array(d), lambda x: x["channel"].isNotNull()), "toolchain", lambda x: x["channel"], lambda x: commas(x["components"])),
+        rows(F.filter(F.array(d), lambda x: x["framework"].isNotNull()), "framework", lambda x: x["framework"], lambda x: x["sdk"]),
+    ]
+    return parsed.select("repo_id", F.col("path").alias("file_path"), F.explode(F.concat(*parts)).alias("f")).select("repo_id", "file_path", "f.*")
+
+
 COUNTED = ("imports", "exports", "functions", "classes", "routes", "tables", "views", "indexes", "storedProcedures", "triggers", "databases", "inserts", "updates", "deletes", "selects", "alterTables", "drops", "comments")
 
 

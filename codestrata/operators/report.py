@@ -215,10 +215,10 @@ def text_report(files: DataFrame, parsed: DataFrame) -> DataFrame:
     return stitched(text_sections(files, parsed))
 
 
-def _grid(rows: DataFrame, title: str, head: tuple[str, ...], level: str = "##") -> DataFrame:
-    """A Markdown table for each repo_id from rows (repo_id, o, cells array)."""
+def _grid(rows: DataFrame, title: str | None, head: tuple[str, ...]) -> DataFrame:
+    """A Markdown table for each repo_id from rows (repo_id, o, cells array), under a heading if it has one."""
     lines = F.array_sort(F.collect_list(F.struct("o", F.concat(F.lit("| "), F.array_join("cells", " | ", ""), F.lit(" |")).alias("line"))))
-    top = f"{level} {title}\n\n| {' | '.join(head)} |\n|{'|'.join('-' * (len(h) + 2) for h in head)}|\n"
+    top = (f"## {title}\n\n" if title else "") + f"| {' | '.join(head)} |\n|{'|'.join('-' * (len(h) + 2) for h in head)}|\n"
     return rows.groupBy("repo_id").agg(F.concat(F.lit(top), F.array_join(F.transform(lines, lambda r: r["line"]), "\n")).alias("text"))
 
 
@@ -242,7 +242,7 @@ def markdown_readme(files: DataFrame, parsed: DataFrame, contents: DataFrame | N
     techs = structure.technologies(files)
     tech = _grid(techs.select("repo_id", F.struct("ord").alias("o"), _cells(F.col("technology"))), "Overview", ("Technology",))
     entries = structure.entry_points(files).filter("path IS NOT NULL").join(techs, ["repo_id", "technology"])
-    entry = _grid(entries.select("repo_id", F.struct("ord", "path").alias("o"), _cells(F.col("technology"), P.basename(F.col("path")))), "Entry Points", ("Technology", "File"), "###")
+    entry = _grid(entries.select("repo_id", F.struct("ord", "path").alias("o"), _cells(F.col("technology"), P.basename(F.col("path")))), None, ("Technology", "File"))
     cargo = p.filter("type = 'cargotoml'").groupBy("repo_id").agg(F.min_by(F.col("detail"), F.col("file_ord")).alias("d"), F.min_by(F.col("detail.package"), F.when(F.col("detail.package").isNotNull(), F.col("file_ord"))).alias("pkg"))
     info_fields = [("Version", "version"), ("Edition", "edition"), ("Description", "description"), ("License", "license"), ("Repository", "repository"), ("Rust Version", "rustVersion")]
     named = [(i, title, F.col("pkg")[k]) for i, (title, k) in enumerate(info_fields)]

@@ -71,7 +71,7 @@ def parse_ruby(text: str) -> dict:
 
 def parse_powershell(text: str) -> dict:
     s, out = Source(text, "ps1"), _record()
-    for m in s.find(r"(?im)^[ \t]*using\s+(?:module|namespace|assembly)\s+([^\n;]+)|(?<![\w-])Import-Module\s+(?:-Name\s+)?([^\s;|]+)"):
+    for m in s.find(r"(?im)^[ \t]*using\s+(?:module|namespace|assembly)\s+([^\n;]+)|(?<![\w-])Import-Module\s+(?:-Name\s+)?(\"[^\"]*\"|'[^']*'|[^\s;|]+)"):
         g = 1 if m[1] is not None else 2
         out["imports"].append({"source": s.raw(m, g).strip().strip("\"'"), "alias": None, "line": s.line(m.start())})
     for m in s.find(r"(?i)(?<![\w-])Export-ModuleMember\s+[^\n;]*?-Function\s+((?:[\w*-]+|[\"'][^\"']*[\"'])(?:\s*,\s*(?:[\w*-]+|[\"'][^\"']*[\"']))*)"):
