@@ -10,8 +10,8 @@ every item that has them; repeated documents and items are rows like any other.
 benchmark leaves every document clean. Extra columns of the input are not read.
 
 The broadcast grows with the benchmark only. Its bound, ``max_broadcast_bytes`` of item
-text, is checked before anything is sent; a larger benchmark is processed in that many
-passes of bounded size whose hits are merged per document, so nothing is left out.
+text, is checked before anything is sent; a larger benchmark is processed in passes of
+bounded size, each adding its hits to a row, so nothing is left out.
 """
 
 from __future__ import annotations
@@ -100,24 +100,23 @@ class WindowSet:
         return hit, [sorted(x) for x in items]
 
 
-def _scan_batches(windows: WindowSet):
+def _scan_batches(windows: WindowSet, again: bool, more: bool):
+    """A pass over documents: `again` adds to the hits of the pass before, `more` keeps the text for the next one."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, rows, offsets, data in tk.chunks(batch.column("text")):
                 w = tk.words(offsets, data, tk.ALNUM)
                 hit, items = windows.scan(w)
+                names = [[windows.items[i] for i in x] for x in items]
+                if again:
+                    before = batch.column("hit_words").slice(row, rows).to_pylist()
+                    hit[[w.first[r] + i for r, x in enumerate(before) for i in x]] = True
+                    names = [sorted({*x, *y}) for x, y in zip(batch.column("items").slice(row, rows).to_pylist(), names)]
                 at = np.flatnonzero(hit)
-                local = at - w.first[w.row[at]]
                 counts = np.bincount(w.row[at], minlength=rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(row, rows),
-                        pa.array(w.count.astype(np.int64)),
-                        tk.list_array(counts, pa.array(local.astype(np.int64))),
-                        pa.array([[windows.items[i] for i in x] for x in items], pa.list_(pa.string())),
-                    ],
-                    names=["doc_id", "n_words", "hit_words", "items"],
-                )
+                arrays = [batch.column("doc_id").slice(row, rows), pa.array(w.count.astype(np.int64)), tk.list_array(counts, pa.array((at - w.first[w.row[at]]).astype(np.int64))), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays + [batch.column("text").slice(row, rows)] * more, names=["doc_id", "n_words", "hit_words", "items"] + ["text"] * more)
 
     return scan
 
@@ -137,16 +136,12 @@ def item_groups(benchmark: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_B
 
 def scan_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, hit_words (indices), items: a row for each document."""
-    parts = []
-    for items in item_groups(benchmark, max_broadcast_bytes):
-        parts.append(docs.select("doc_id", "text").mapInArrow(_scan_batches(WindowSet(items, width)), HIT_SCHEMA))
-    if len(parts) == 1:
-        return parts[0]
-    # every pass scans the same rows; a row's hits are united by its id and text, repeated rows alike
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hit_words"))).alias("hit_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    groups = list(item_groups(benchmark, max_broadcast_bytes))
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    for k, items in enumerate(groups):
+        more = k + 1 < len(groups)
+        out = out.mapInArrow(_scan_batches(WindowSet(items, width), k > 0, more), HIT_SCHEMA + ", text string" * more)
+    return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_items: int = 2) -> DataFrame:

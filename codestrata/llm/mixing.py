@@ -17,7 +17,7 @@ Budget None is the smallest budget that shows every row of every source at least
 Edge cases: a null source is the empty source; null or empty texts have no tokens and go
 with every whole epoch; a source without tokens is kept once; a null doc_id hashes as the
 empty text; repeated rows are taken or left together in the cut epoch; an empty table gives
-an empty mixture; extra columns pass through, and names made here end with ``__mix``.
+an empty mixture; extra columns pass through inside ``row``, so no name can clash.
 """
 
 from __future__ import annotations
@@ -107,19 +107,18 @@ def plan(spark: SparkSession, docs: DataFrame, seed: int = 0, entropy: float | N
 
 
 def mixed(spark: SparkSession, docs: DataFrame, seed: int = 0, entropy: float | None = None, repetition: float | None = REPETITION_LIMIT, budget: int | None = None) -> DataFrame:
-    """docs with each row as often as its source's epochs show it, and epoch__mix, order__mix, within__mix, weight__mix."""
+    """row (a struct of docs' columns) as often as its source's epochs show it, with epoch, order, within and weight."""
     p = plan(spark, docs, seed, entropy, repetition, budget)
     key = F.xxhash64(F.lit(seed), F.coalesce(docs["doc_id"].cast("string"), F.lit("")))
-    d = docs.withColumn("source__mix", source_of(docs)).withColumn("key__mix", key).join(p, "source__mix")
-    order = F.xxhash64(F.lit(seed), F.col("epoch__mix"), _block(F.col("key__mix")))
-    within = F.xxhash64(F.lit(seed), F.col("epoch__mix"), F.col("key__mix"))
-    d = d.withColumn("epoch__mix", F.explode(F.sequence(F.lit(0), F.col("epochs__mix"))))
-    d = d.withColumn("order__mix", order).withColumn("within__mix", within)
-    before = (F.col("order__mix") < F.col("cut_order__mix")) | ((F.col("order__mix") == F.col("cut_order__mix")) & (F.col("within__mix") <= F.col("cut_within__mix")))
-    return d.filter((F.col("epoch__mix") < F.col("epochs__mix")) | F.coalesce(before, F.lit(False))).select(*[docs[c] for c in docs.columns], "epoch__mix", "order__mix", "within__mix", "weight__mix")
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), source_of(docs).alias("source__mix"), key.alias("key")).join(p, "source__mix")
+    d = d.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs__mix"))))
+    d = d.withColumn("order", F.xxhash64(F.lit(seed), "epoch", _block(F.col("key")))).withColumn("within", F.xxhash64(F.lit(seed), "epoch", "key"))
+    before = (F.col("order") < F.col("cut_order__mix")) | ((F.col("order") == F.col("cut_order__mix")) & (F.col("within") <= F.col("cut_within__mix")))
+    shown = d.filter((F.col("epoch") < F.col("epochs__mix")) | F.coalesce(before, F.lit(False)))
+    return shown.select("row", "epoch", "order", "within", F.col("weight__mix").alias("weight"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture that shows each row at least once and none more than twice, most even among those."""
     m = mixed(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    return m.select("doc_id", "source", F.col("epoch__mix").alias("epoch"), F.col("order__mix").alias("block_order"), F.col("within__mix").alias("row_order"), tokens(F.col("text")).alias("n_tokens"), F.round("weight__mix", 9).alias("weight"))
+    return m.select("row.doc_id", "row.source", "epoch", F.col("order").alias("block_order"), F.col("within").alias("row_order"), tokens(F.col("row.text")).alias("n_tokens"), F.round("weight", 9).alias("weight"))

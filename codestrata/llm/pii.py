@@ -128,7 +128,7 @@ def _described(x: Column, text: Column, kind: int) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base, proposed (start, kind, end, f, confirmed), half: no texts."""
-    d = base_spans(docs)
+    d = base_spans(docs.select("doc_id", "text"))
     text = F.col("text__pii")
     d = d.withColumn("loose__pii", F.when(F.contains(text, F.lit("@")), matches(text, LOOSE_MAIL)))
     d = d.withColumn("numbers__pii", F.when(F.rlike(text, F.lit("[0-9][^a-zA-Z]{4,}[0-9]")), matches(text, NUMBERS)))

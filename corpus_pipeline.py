@@ -31,7 +31,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in the proportions of the tempered source weights."""
-    return mixing.mixed(spark, docs).select(*[docs[c] for c in docs.columns])
+    return mixing.mixed(spark, docs).select("row.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
