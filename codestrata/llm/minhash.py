@@ -9,10 +9,12 @@
    48 retained values (but for a chance under 1e-6; 0.8 of them, surely, where the sketch is
    the whole set), so each document is listed only under its rarest ``k - SHARED + 1``
    values: passages that many documents hold rarely bring two of them together.
-4. Candidates come from pivots, not from pairs: in each list every member meets the one with
-   the longest lists (of a text and its edited copies, the text), and after links are merged, lists that still hold several components go on
-   with ``GROWTH`` times as many further pivots a round, until none is untested. The union sketch
-   estimates Jaccard and filters; exact Jaccard on full sets confirms every link.
+4. A list's pivot is its member with the longest lists (of a text and its edited copies, the
+   text). Members meet the pivot first: the union sketch estimates Jaccard and filters,
+   exact Jaccard on full sets confirms. Lists of one pivot are united into a group, and
+   members that are still in different components are compared exactly in blocks of
+   ``BLOCK`` members; blocks of one component meet only others. A block pair gives back its
+   links, not its pairs.
 5. Components: smallest label reachable, by rounds over written tables.
 
 Edge cases: null or empty texts and texts of separators have no set: they link with
@@ -38,8 +40,8 @@ SKETCH = 48
 #: Of SKETCH values, so many are shared at least at Jaccard 0.8: mean 38, over five standard deviations away.
 SHARED = 24
 FILTER_BITS = 1 << 23
-#: Each round has so many times the pivots of the one before.
-GROWTH = 8
+#: Members of a block when a group is compared across its components.
+BLOCK = 256
 #: The estimate must come within this of the threshold; about four standard errors at k = 48.
 SLACK = 0.25
 
@@ -126,32 +128,106 @@ def near_links(spark: SparkSession, docs: DataFrame, width: int, threshold: floa
     whole = Window.partitionBy("key")
     listed = shared.select("key", "rep", "n", F.row_number().over(order).alias("rank"), F.count("*").over(whole).alias("size"), F.first("rep").over(order).alias("pivot"), F.first("n").over(order).alias("pivot_n"))
     listed = written(spark, listed.filter("size > 1"), "lists")
-    alike = F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn")
-    pairs = listed.filter("rank > 1 AND rep <> pivot").select(F.col("pivot").alias("a"), F.col("pivot_n").alias("an"), F.col("rep").alias("b"), F.col("n").alias("bn")).filter(alike)
+    groups = written(spark, listed.groupBy("pivot", "rep").agg(F.max("n").alias("n"), F.max("pivot_n").alias("pn")), "groups")
+    sets = _full_sets(spark, docs, groups.select(F.col("rep").alias("doc_id")).distinct(), width)
 
-    labels = merged(spark, None, multi)
-    tested: DataFrame | None = None
-    last = 1
-    while True:
-        likely = _likely(reps, pairs.select("a", "b").distinct(), threshold, k)
-        likely = written(spark, likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "likely")
-        if not likely.isEmpty():
-            tested = likely if tested is None else tested.unionByName(likely)
-            labels = merged(spark, labels, _exact(spark, docs, likely, width, threshold))
-            at = listed.join(labels, "rep", "left").select("key", "rep", "n", "rank", "size", F.coalesce("label", "rep").alias("label")) if labels is not None else listed.withColumn("label", F.col("rep"))
-            # lists whose members are not all in one component go on
-            open_keys = at.filter(F.col("size") > last + 1).groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-            members = at.join(open_keys.select("key"), "key", "left_semi")
-        else:
-            members = (listed if "label" in listed.columns else listed.withColumn("label", F.col("rep"))).filter(F.col("size") > last + 1)
-        listed = written(spark, members.select("key", "rep", "n", "rank", "size", "label"), "open")
-        if listed.isEmpty():
-            return sk.select("doc_id", "n_shingles").join(same.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left"), labels
-        first, last = last + 1, last * GROWTH + 1
-        pivots = listed.filter(F.col("rank").between(first, last)).select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("rank").alias("ar"), F.col("label").alias("al"))
-        others = listed.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("rank").alias("br"), F.col("label").alias("bl"))
-        listed = listed.drop("label") if labels is not None else listed
-        pairs = pivots.join(others, "key").filter((F.col("br") > F.col("ar")) & (F.col("al") != F.col("bl")) & (F.col("a") != F.col("b")) & alike)
+    near = F.least("n", "pn") >= F.lit(threshold) * F.greatest("n", "pn")
+    pairs = groups.filter(near & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    likely = written(spark, _likely(reps, pairs, threshold, k), "likely")
+    labels = merged(spark, None, multi.unionByName(_exact(sets, likely, threshold)))
+    labels = merged(spark, labels, _across(groups, labels, sets, threshold, k))
+    return sk.select("doc_id", "n_shingles").join(same.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left"), labels
+
+
+def _full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """rep, values (the full set, ascending as unsigned) of the documents named. Most texts leave in place; the join drops the few that only share a slot."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("slot", _slots(F.col("doc_id")))
+    sets = texts.mapInArrow(_sets(width, _filter_of(ids)), "rep long, values array<long>")
+    return written(spark, sets.join(ids, F.col("rep") == F.col("doc_id"), "left_semi"), "sets")
+
+
+def _across(groups: DataFrame, labels: DataFrame | None, sets: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Links (a, b) between components inside groups."""
+    if labels is None:
+        g = groups.withColumn("label", F.col("rep")).withColumn("core", F.col("pivot"))
+    else:
+        of = lambda c, name: labels.select(F.col("rep").alias(c), F.col("label").alias(name))
+        g = groups.join(of("rep", "label"), "rep", "left").join(of("pivot", "core"), "pivot", "left")
+        g = g.withColumn("label", F.coalesce("label", "rep")).withColumn("core", F.coalesce("core", "pivot"))
+    whole = Window.partitionBy("pivot")
+    inside = F.col("label") == F.col("core")
+    g = g.withColumn("size", F.count("*").over(whole)).withColumn("cores", F.sum(inside.cast("int")).over(whole))
+    # the pivot has met all members; two that are left make no pair
+    g = g.filter((F.col("size") > 2) & (F.col("cores") < F.col("size")))
+    g = g.withColumn("blk", F.floor((F.row_number().over(whole.orderBy(inside.desc(), "n", "rep")) - 1) / BLOCK).cast("int"))
+    pure = F.floor(F.col("cores") / BLOCK).cast("int")
+    last = F.floor((F.col("size") - 1) / BLOCK).cast("int")
+    partners = F.filter(F.sequence(F.lit(0), last), lambda j: ~((F.col("blk") < pure) & (j < pure)))
+    each = g.withColumn("j", F.explode(partners)).select("pivot", F.least("blk", "j").alias("lo"), F.greatest("blk", "j").alias("hi"), "blk", "label", "rep")
+    rows = each.join(sets, "rep").select("pivot", "lo", "hi", "blk", "label", "rep", "values")
+    return rows.groupBy("pivot", "lo", "hi").applyInArrow(_block_pair(threshold, k), "a long, b long")
+
+
+def _overlaps(value: np.ndarray, row: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
+    """Matrix of shared values between rows of one side (other False) and of the other (other True); rows are numbered within n."""
+    _, number = np.unique(value, return_inverse=True)
+    left, right = np.flatnonzero(~other), np.flatnonzero(other)
+    left, right = left[np.argsort(number[left], kind="stable")], right[np.argsort(number[right], kind="stable")]
+    start = np.searchsorted(number[right], number[left], side="left")
+    size = np.searchsorted(number[right], number[left], side="right") - start
+    out = np.zeros(n * n, dtype=np.int64)
+    step = 4_000_000  # increments at a time
+    total = np.cumsum(size)
+    at = 0
+    while at < len(left):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step)))
+        s = size[at:end]
+        pick = np.repeat(start[at:end], s) + np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s)
+        out += np.bincount(np.repeat(row[left[at:end]], s) * n + row[right[pick]], minlength=n * n)
+        at = end
+    return out.reshape(n, n)
+
+
+def _block_pair(threshold: float, k: int):
+    """Exact links between members of two blocks (or of one) with different labels."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blk = table.column("blk").to_numpy()
+        label = table.column("label").to_numpy()
+        rep = table.column("rep").to_numpy()
+        lists = table.column("values").combine_chunks()
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        value = lists.flatten().to_numpy()
+        m = len(rep)
+        row = np.repeat(np.arange(m), n)
+        two = blk.min() != blk.max()
+        side = blk == blk.max() if two else np.ones(m, bool)
+        pair = label[:, None] != label[None, :]
+        pair &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
+        pair &= (~side[:, None] & side[None, :]) if two else np.triu(np.ones((m, m), bool), 1)
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not pair.any():
+            return none
+
+        def shared(use: np.ndarray) -> np.ndarray:
+            v, r = value[use], row[use]
+            if two:
+                return _overlaps(v, r, side[r], m)
+            return _overlaps(np.concatenate([v, v]), np.concatenate([r, r]), np.repeat([False, True], len(v)), m)
+
+        # retained values in common bound the union sketch's estimate from above
+        place = np.arange(len(value)) - (np.cumsum(n) - n)[row]
+        most = np.minimum(k, np.maximum(n[:, None], n[None, :]))
+        pair &= shared(place < k) >= (threshold - SLACK) * most
+        if not pair.any():
+            return none
+        asked = pair.any(axis=0) | pair.any(axis=1)
+        inter = shared(asked[row])
+        pair &= 100 * inter >= round(threshold * 100) * (n[:, None] + n[None, :] - inter)
+        a, b = np.nonzero(pair)
+        return pa.table({"a": rep[a], "b": rep[b]})
+
+    return run
 
 
 def _likely(reps: DataFrame, pairs: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -165,13 +241,8 @@ def _likely(reps: DataFrame, pairs: DataFrame, threshold: float, k: int) -> Data
     return s.filter(common >= F.lit(threshold - SLACK) * F.size(union)).select("a", "b")
 
 
-def _exact(spark: SparkSession, docs: DataFrame, likely: DataFrame, width: int, threshold: float) -> DataFrame:
+def _exact(sets: DataFrame, likely: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets have the Jaccard similarity."""
-    ends = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts = ids.withColumn("slot", _slots(F.col("doc_id")))
-    # most texts leave here, in place; the join below drops the few that only share a slot
-    sets = written(spark, texts.mapInArrow(_sets(width, _filter_of(ends)), "rep long, values array<long>").join(ends, F.col("rep") == F.col("doc_id"), "left_semi"), "sets")
     v = likely.join(sets.select(F.col("rep").alias("b"), F.col("values").alias("vb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("values").alias("va")), "a")
     inter = F.size(F.array_intersect("va", "vb")).cast("long")
     total = F.size("va").cast("long") + F.size("vb").cast("long") - inter
