@@ -75,6 +75,8 @@ def fold(events: DataFrame) -> DataFrame:
     e = e.withColumn("at", F.row_number().over(by_conv.orderBy(F.col("seq").asc_nulls_first(), "msg_id", "role", "text")))
     e = e.withColumn("opened", F.min("at").over(by_msg))
     e = e.withColumn("reset", F.max(F.when(F.col("event").isin("message", "edit", "regenerate"), F.col("at"))).over(by_msg))
+    # only the opening event names the role
+    e = e.withColumn("role", F.max(F.when(F.col("at") == F.col("opened"), F.col("role"))).over(by_msg))
     redo = F.when(F.col("event") == "regenerate", F.col("opened"))
     e = e.withColumn("later", F.min(redo).over(by_conv.orderBy("at").rowsBetween(1, Window.unboundedFollowing)))
     # a message is superseded if some later regeneration's own message was opened before it
