@@ -118,7 +118,7 @@ def test_mixing(spark):
     seen = Counter()
     for r in out:
         seen[r.source or ""] += len((r.text or "").split())
-    assert seen["big"] == share["big"] and seen["tiny"] == 2 * share["tiny"]
+    assert seen["big"] == share["big"] and share["tiny"] <= seen["tiny"] <= 2 * share["tiny"]
     budget = 400
     capped = mixing.mixed(spark, d, budget=budget, repetition=None, entropy=0.5).select("row.*").collect()
     assert sum(len((r.text or "").split()) for r in capped) <= budget
