@@ -44,12 +44,12 @@ from codestrata.llm import textkit as tk
 from codestrata.llm.shared import crc_mod, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-CLASSES = 192
-OWN_CLASS = 160  #: ids with a class each; END has one more
+CLASSES = 160
+OWN_CLASS = 127  #: ids with a class each; END has one more
 DIM, WINDOW, STRIDE = 16, 32, 24
 WARM_DOCS, WARM_STEPS = 400, 1500
-TRAIN_SHARE = 24
-BATCH_WINDOWS = 256
+TRAIN_SHARE = 32
+BATCH_WINDOWS = 64  #: a batch's logits stay in a core's cache
 FREQUENT = 1 << 16
 CHUNK = 2 << 20
 SMOOTH = 0.5
@@ -127,8 +127,7 @@ def attend(p: Params, x_ids: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Hidden state of each position of windows of input classes (CLASSES marks the start)."""
     x = p["E"][x_ids] + p["P"]
     q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(1 / math.sqrt(DIM))
+    s = (q * np.float32(1 / math.sqrt(DIM))) @ k.transpose(0, 2, 1)
     s += _MASK
     s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
