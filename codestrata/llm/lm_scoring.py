@@ -44,10 +44,10 @@ from codestrata.llm import textkit as tk
 from codestrata.llm.shared import crc_mod, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-CLASSES = 160
-OWN_CLASS = 127  #: ids with a class each; END has one more
-DIM, WINDOW, STRIDE = 16, 32, 24
-WARM_DOCS, WARM_STEPS = 400, 1500
+CLASSES = 112
+OWN_CLASS = 96  #: ids with a class each; END has one more
+DIM, WINDOW, STRIDE = 16, 24, 18
+WARM_DOCS, WARM_STEPS = 400, 1000
 TRAIN_SHARE = 32
 BATCH_WINDOWS = 64  #: a batch's logits stay in a core's cache
 FREQUENT = 1 << 16
@@ -233,9 +233,9 @@ def unpack(v: np.ndarray, like: Params) -> Params:
     return out
 
 
-def subwords(w: tk.Words, encoder: Encoder, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of all texts, each ending with END; first id of each text; ids of each text)."""
-    _, first, number = np.unique(w.hashes(), return_index=True, return_inverse=True)
+def subwords(w: tk.Words, encoder: Encoder, end_id: int, distinct: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts, each ending with END; first id of each text; ids of each text). distinct: first place and number of each word, if known."""
+    first, number = distinct or np.unique(w.hashes(), return_index=True, return_inverse=True)[1:]
     ids, size = encoder(w.texts(first))
     begin = np.cumsum(size) - size
     own = size[number]
@@ -355,7 +355,7 @@ def _score(model_parts, frequent_hash: np.ndarray, frequent_count: np.ndarray, n
             for row, rows, offsets, data in tk.chunks(batch.column("text"), CHUNK):
                 w = tk.words(offsets, data, tk.NOT_SPACE)
                 h, first_word, number = np.unique(w.hashes(), return_index=True, return_inverse=True)
-                ids, first, count = subwords(w, encoder, end)
+                ids, first, count = subwords(w, encoder, end, (first_word, number))
                 score = score_classes(params, classes.of[ids], first, count) / math.log(10)
                 score += np.add.reduceat(classes.log_p[ids], first) if rows else 0
                 at = np.minimum(np.searchsorted(frequent_hash, h), max(0, len(frequent_hash) - 1))
