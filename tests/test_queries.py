@@ -43,7 +43,7 @@ def test_analyze(spark, tmp_path):
     (tmp_path / "src/bad.js").write_text("function ( {")
     (tmp_path / "t.sql").write_text("CREATE TABLE t (id INT);")
     text = api.analyze(spark, str(tmp_path))
-    assert "Files analyzed: 2" in text and "GET   /h" in text and "(none)" in text and "x.js" not in text
+    assert "Files analyzed: 2" in text and "GET   /h" in text and "(none)" in text and "node_modules" not in text
     docs = api.analyze(spark, str(tmp_path), "md", out=str(tmp_path / "out"))
     assert "## Project Structure" in docs["readme"] and docs["modules"][0][1].startswith("# Module: src")
     assert (tmp_path / "out/docs/src.md").exists()
