@@ -230,3 +230,25 @@ def test_pipeline_stages(spark, tmp_path, sf):
         df = spark.read.parquet(str(tmp_path / name))
     last = corpus_pipeline.STAGES[-1][1](spark, df, sf)
     assert last.count() == df.count() > 100 and {"doc_id", "shard"} <= set(last.columns)
+
+
+def test_pipeline_decontamination_against_brute_force(spark, tmp_path):
+    alnum = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"w{rng.randrange(2000)}" for _ in range(n))
+    items = [(i, fresh(rng.randint(14, 40))) for i in range(6)] + [(6, None), (7, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    word = lambda i, a, b: " ".join(items[i][1].split()[a:b])
+    rows = [(i, fresh(rng.randint(0, 60))) for i in range(40)] + [(40, None), (41, ""), (42, items[0][1])]
+    rows += [(43, f"{fresh(20)} {items[1][1].upper()}, {fresh(20)}"), (44, f"{fresh(5)} {items[2][1]} {items[3][1]}")]
+    rows += [(45, f"{fresh(9)} {word(4, 3, 11)}"), (46, f"{fresh(9)} {word(4, 3, 10)}"), (47, f"{word(5, 0, 4)} and {word(5, 4, 14)}")]
+
+    def grams(t):
+        w = alnum.findall((t or "").lower())
+        return {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+
+    planted = set().union(*(grams(t) for _, t in items))
+    want = [i for i, t in rows if not grams(t) & planted]
+    assert {46} <= set(want) and not {42, 43, 44, 45, 47} & set(want)
+    kept = corpus_pipeline.decontaminate_stage(spark, docs(spark, rows), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(r for r in rows if r[0] in want)
