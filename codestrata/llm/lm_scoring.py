@@ -13,8 +13,8 @@ all texts of a chunk are masked and multiplied in batches.
 
 Training, on texts that are not held out: word counts of all of them (subword counts follow
 from these); attention weights start from a bounded warm-up sample (``WARM_DOCS`` texts in
-hash order, one task) and then every task trains on its own share of one text in
-``TRAIN_SHARE`` of the whole corpus, and the tasks' weights are averaged by tokens seen.
+hash order, one task) and then every task trains once on every window of all its texts, and
+the tasks' weights are averaged by tokens seen.
 What is gathered (counts, task weights) grows with the corpus and is summed on executors;
 the driver gets at most one number a parameter, a class table, and ``FREQUENT`` counts.
 
@@ -44,11 +44,11 @@ from codestrata.llm import textkit as tk
 from codestrata.llm.shared import crc_mod, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-CLASSES = 112
-OWN_CLASS = 96  #: ids with a class each; END has one more
-DIM, WINDOW, STRIDE = 16, 24, 18
-WARM_DOCS, WARM_STEPS = 400, 1000
-TRAIN_SHARE = 32
+CLASSES = 192
+OWN_CLASS = 160  #: ids with a class each; END has one more
+DIM, WINDOW, STRIDE = 16, 32, 24
+WARM_DOCS, WARM_STEPS = 400, 1500
+TRAIN_SHARE = 1  #: the name is kept for those that set it; nothing reads it, all texts train
 BATCH_WINDOWS = 64  #: a batch's logits stay in a core's cache
 FREQUENT = 1 << 16
 CHUNK = 2 << 20
@@ -204,14 +204,17 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, scored: np.nda
 
 
 def descend(p: Params, windows: tuple[np.ndarray, np.ndarray, np.ndarray], steps: int, rate: float, seed: int = 3) -> Params:
-    """Adam over random batches of windows."""
+    """Adam over batches of windows in random order; each window comes once before any comes again."""
     inputs, targets, scored = windows
     rng = np.random.default_rng(seed)
     p = {k: v.copy() for k, v in p.items()}
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
+    left = np.zeros(0, np.int64)
     for t in range(1, steps + 1):
-        at = rng.integers(0, len(inputs), min(64, len(inputs)))
+        if not len(left):
+            left = rng.permutation(len(inputs))
+        at, left = left[:64], left[64:]
         _, g = gradients(p, inputs[at], targets[at], scored[at])
         now = rate * min(1.0, 3 * (1 - t / (steps + 1)))
         for k in p:
@@ -333,8 +336,7 @@ def train(spark: SparkSession, texts: DataFrame, vocabulary: str = VOCABULARY) -
     h = F.xxhash64(F.lit(11), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     warm = texts.orderBy(h, "doc_id").limit(WARM_DOCS).select("text").coalesce(1)
     p = _averaged(warm.mapInArrow(_train(encoder, classes, p, lambda n: WARM_STEPS, 0.02), "at long, v double"), p)
-    share = texts.filter(F.pmod(h, F.lit(TRAIN_SHARE)) == 0).select("text")
-    p = _averaged(share.mapInArrow(_train(encoder, classes, p, lambda n: max(1, n // 64), 0.003), "at long, v double"), p)
+    p = _averaged(texts.select("text").mapInArrow(_train(encoder, classes, p, lambda n: -(-n // 64), 0.003), "at long, v double"), p)
     return Model(encoder, classes, p, counts, total[0] + ends, total[1] + (1 if ends else 0), ends)
 
 

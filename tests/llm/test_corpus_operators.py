@@ -57,6 +57,35 @@ def test_lm_is_a_distribution_and_windows_score_once(small):
         assert not len(p) or abs(p.sum() - 1) < 1e-9
 
 
+def test_lm_trains_on_every_text(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "WARM_STEPS", 5)
+    tokens, averaged = [], lm_scoring._averaged
+
+    def spy(rows, like):
+        tokens.append(rows.filter("at = -1").agg(F.sum("v")).first()[0])
+        return averaged(rows, like)
+
+    monkeypatch.setattr(lm_scoring, "_averaged", spy)
+    rows = corpus(90)
+    encoder = lm_scoring.train(spark, docs(spark, rows)).encoder
+    want = sum(len(encoder(["".join(x.lower() if x < "\x7f" else x for x in w) for w in t.split()])[0]) + 1 for _, t in rows)
+    assert tokens[-1] == want
+
+
+def test_lm_descends_over_every_window_once(monkeypatch):
+    classes = lm_scoring.classes_from({i: i + 1 for i in range(300)}, 300, 3)
+    p, seen, gradients = lm_scoring.initial(classes), [], lm_scoring.gradients
+
+    def spy(q, inputs, targets, scored):
+        seen.extend(targets[:, 0].tolist())
+        return gradients(q, inputs, targets, scored)
+
+    monkeypatch.setattr(lm_scoring, "gradients", spy)
+    t = np.repeat(np.arange(150)[:, None], lm_scoring.WINDOW, 1)
+    lm_scoring.descend(p, (t, t, np.ones(t.shape, bool)), 3, 0.003)
+    assert sorted(seen) == list(range(150))
+
+
 def test_lm_gradients():
     classes = lm_scoring.classes_from({i: i + 1 for i in range(300)}, 300, 3)
     p = {k: v.astype(np.float64) for k, v in lm_scoring.initial(classes).items()}
