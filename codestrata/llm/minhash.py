@@ -6,8 +6,8 @@
 2. Documents of equal sets form a class; its smallest doc_id stands for it from here on, so
    copies are never paired.
 3. Inverted lists of retained values. Two sets with Jaccard 0.8 share at least ``SHARED`` of
-   48 retained values (but for a chance under 1e-6; 0.8 of them, surely, where the sketch is
-   the whole set), so each document is listed only under its rarest ``k - SHARED + 1``
+   48 retained values (but for a chance under 1e-6; 0.8 of them, surely, where the sketches of
+   the set and of any set that near are whole sets: 38 shingles at most), so each document is listed only under its rarest ``k - SHARED + 1``
    values: passages that many documents hold rarely bring two of them together.
 4. A list's pivot is its member with the longest lists (of a text and its edited copies, the
    text). Members meet the pivot first: the union sketch estimates Jaccard and filters,
@@ -120,7 +120,8 @@ def near_links(spark: SparkSession, docs: DataFrame, width: int, threshold: floa
     shared = entries.join(many, "key")
     # values of its own come first in a document's order of rarity
     kept_size = F.least(F.col("n"), F.lit(k))
-    need = F.when(F.col("n") <= k, F.ceil(kept_size * threshold - 1e-9)).otherwise(F.lit(SHARED * k // SKETCH))
+    # a set that fits the sketch can still be near one that does not, of up to n / threshold
+    need = F.when(F.col("n") <= int(k * threshold + 1e-9), F.ceil(kept_size * threshold - 1e-9)).otherwise(F.lit(SHARED * k // SKETCH))
     of_rep = Window.partitionBy("rep", "n")
     shared = shared.withColumn("alone", kept_size - F.count("*").over(of_rep)).withColumn("place", F.row_number().over(of_rep.orderBy("size", "key")))
     shared = shared.withColumn("degree", F.sum("size").over(of_rep)).filter(F.col("place") + F.col("alone") <= kept_size - need + 1)

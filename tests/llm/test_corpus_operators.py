@@ -243,6 +243,17 @@ def test_near_dedup_against_brute_force(spark):
     assert kept == {i for i, (_, c) in groups_of(rows, 5).items() if i == c} | {None}
 
 
+def test_near_dedup_where_one_set_fits_the_sketch(spark):
+    rng = random.Random(9)
+    rows = []
+    for n, more in [(48, 12), (48, 11), (48, 10), (47, 11), (46, 11), (45, 11)] * 4:
+        w = [f"w{rng.randrange(10**9)}" for _ in range(n + 3 + more)]
+        rows += [(len(rows), " ".join(w[: n + 3])), (len(rows) + 1, " ".join(w))]
+    want = groups_of(rows, 4)
+    assert {n for n, _ in want.values()} == {45, 46, 47, 48, 56, 57, 58, 59, 60} and len({c for _, c in want.values()}) == 24
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(spark, docs(spark, rows), 4).collect()} == want
+
+
 def test_near_dedup_odd(spark):
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.kept) for r in minhash.near_dedup(spark, docs(spark, ODD), 4).collect())
     assert len(got) == len(ODD) and all(x[3] for x in got)
