@@ -42,8 +42,8 @@ SHARED = 24
 FILTER_BITS = 1 << 23
 #: Members of a block when a group is compared across its components.
 BLOCK = 256
-#: The estimate must come within this of the threshold; about four standard errors at k = 48.
-SLACK = 0.25
+#: The estimate must come within this of the threshold: at k = 48 no tighter than SHARED.
+SLACK = 0.3
 
 
 def _sketches(width: int, k: int):

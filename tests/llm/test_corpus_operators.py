@@ -254,6 +254,14 @@ def test_near_dedup_where_one_set_fits_the_sketch(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(spark, docs(spark, rows), 4).collect()} == want
 
 
+def test_near_dedup_filter_is_no_tighter_than_the_lists(spark):
+    k = minhash.SKETCH
+    common, own = list(range(minhash.SHARED)), k - minhash.SHARED
+    a, b = [common + list(range(at, at + 2 * own, 2)) for at in (100, 101)]
+    reps = spark.createDataFrame([(1, a), (2, b)], "rep long, sketch array<long>")
+    assert minhash._likely(reps, spark.createDataFrame([(1, 2)], "a long, b long"), 0.8, k).count() == 1
+
+
 def test_near_dedup_odd(spark):
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.kept) for r in minhash.near_dedup(spark, docs(spark, ODD), 4).collect())
     assert len(got) == len(ODD) and all(x[3] for x in got)
