@@ -91,7 +91,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     d = d.withColumn("mail__pii", F.when(F.contains(text, F.lit("@")), matches(mail, EMAIL)))
     d = d.withColumn("ip__pii", F.when(digits, matches(text, IP)))
     d = d.withColumn("card__pii", F.when(digits, matches(card, CARD)))
-    d = d.withColumn("phone__pii", F.when(F.contains(text, F.lit("+")) & digits, matches(text, PHONE)))
+    d = d.withColumn("phone__pii", F.when(F.rlike(text, F.lit(r"\+[0-9]")), matches(text, PHONE)))
     ip_ok = lambda m: F.forall(F.split(m, r"\."), lambda p: F.rlike(p, F.lit(OCTET)))
     card_ok = lambda m: F.length(_digits(m)).between(14, 19) & luhn(_digits(m))
     phone_ok = lambda m: F.length(_digits(m)).between(10, 15)

@@ -109,6 +109,12 @@ def test_pii_base_and_generators(spark):
     assert len(got[8].base) == 1 and got[1].base == [] and pii.find(spark, docs(spark, ODD).limit(0)).count() == 0
 
 
+def test_pii_phone_of_wide_separators(spark):
+    phone = "+4  9  1  5  2  0  3  8  7  6"
+    got = pii.base_spans(docs(spark, [(1, f"call {phone} now"), (2, "a + b 1 2")])).orderBy("doc_id").collect()
+    assert [(s.start, s.kind, s.end) for s in got[0].base__pii] == [(5, 3, 5 + len(phone))] and got[1].base__pii == []
+
+
 def test_boosting_learns(spark):
     import numpy as np
 
