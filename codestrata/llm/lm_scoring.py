@@ -2,30 +2,32 @@
 
 Text: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, one end token a text. A word's subword ids
 come from a public byte-level vocabulary (its path is a parameter; it is read on the
-driver and travels with the job). Ids fall into ``CLASSES`` classes: the most frequent have
-a class each, the others share classes of about equal mass.
+driver and travels with the job). Ids fall into ``GROUPS`` x ``PER`` classes: the most
+frequent ids have a class each, the others share classes of about equal mass.
 
 Model: log10 P(text) = sum over ids of log10 P(class | ids before) + log10 P(id | class).
-P(id | class) is smoothed counts over all training texts. P(class | before) is one causal
-attention layer over windows of ``WINDOW`` ids that overlap by ``WINDOW - STRIDE``; a window
-scores only what no window before has scored, so each id is scored once, and windows of
-all texts of a chunk are masked and multiplied in batches.
-
-Training, on texts that are not held out: word counts of all of them (subword counts follow
-from these); attention weights start from a bounded warm-up sample (``WARM_DOCS`` texts in
-hash order, one task) and then every task trains once on every window of all its texts, and
-the tasks' weights are averaged by tokens seen.
-What is gathered (counts, task weights) grows with the corpus and is summed on executors;
-the driver gets at most one number a parameter, a class table, and ``FREQUENT`` counts.
-
-Base score: counts of frequent words travel with the job (``FREQUENT`` at most); the other
-distinct words of a chunk of text are joined with the counts once a chunk, not once a
-document, and come back as one list a chunk. No text is shuffled.
+P(id | class) is smoothed counts over all training texts. P(class | before) is a softmax of
+two levels (group, then class in its group) over one causal attention layer, added to the
+log counts of class pairs over all training texts: with its output weights at zero the
+model is a smoothed bigram model, and attention learns what more the context says. Windows
+of ``WINDOW`` ids overlap by ``WINDOW - STRIDE``; a window scores only what no window before
+has scored, so each id is scored once, and windows of all texts of a chunk are masked and
+multiplied in batches.
+
+Passes: texts are read once into blocks (subword ids, distinct words, the place of each
+word), written to the shared folder; all else reads blocks. Counts of words, ids and class
+pairs cover all training texts. Attention weights start from ``WARM_BLOCKS`` blocks (a common
+start, so that averages of weights make sense); then every task trains on every window of
+all training texts of its blocks, and the tasks' weights are averaged by tokens seen. The
+driver gets at most a number a parameter, a vocabulary table and a table of class pairs.
+
+Base score: the distinct words of a block are joined with the counts once a block, not once
+a document, and come back as one list a block. No text is shuffled.
 
 Edge cases: null and empty texts are the end token alone; ties in counts are broken by the
 word or id; repeated rows are scored (and trained on) each; with no training text N and V
 are 0 and the model is uniform; an empty table gives no rows; extra columns are not read; a
-null doc_id hashes as the empty text.
+null doc_id hashes as the empty text. A text longer than a chunk is a block of its own.
 """
 
 from __future__ import annotations
@@ -44,21 +46,23 @@ from codestrata.llm import textkit as tk
 from codestrata.llm.shared import crc_mod, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-CLASSES = 192
-OWN_CLASS = 160  #: ids with a class each; END has one more
+GROUPS, PER = 32, 32
+CLASSES = GROUPS * PER  #: the last one is END
+OWN_CLASS = 960  #: ids with a class each
 DIM, WINDOW, STRIDE = 16, 32, 24
-WARM_DOCS, WARM_STEPS = 400, 1500
-TRAIN_SHARE = 1  #: the name is kept for those that set it; nothing reads it, all texts train
-BATCH_WINDOWS = 64  #: a batch's logits stay in a core's cache
-FREQUENT = 1 << 16
-CHUNK = 2 << 20
+WARM_BLOCKS, WARM_STEPS, WARM_RATE, RATE = 4, 240, 0.01, 0.002
+BATCH_WINDOWS = 256  #: a batch's arrays stay in a core's cache
+CHUNK = 1 << 20
 SMOOTH = 0.5
+#: Row groups of a few blocks, so that tasks of the later passes can part a file.
+ROW_GROUPS = {"parquet.block.size": 2 << 20, "parquet.page.size.row.count.limit": 4, "parquet.block.row.count.limit": 4}
+PAIR_PRIOR = 20.0  #: pseudo-counts of the class's own share in a row of class pairs
 
 
 class Encoder:
     """Subword ids of words, with a bounded memory of recent words."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 100_000):
         self.ranks, self.most, self.known, self.core = ranks, most, {}, None
 
     def __getstate__(self):
@@ -105,135 +109,227 @@ def classes_from(counts: dict[int, int], n_ids: int, ends: int) -> Classes:
     rest = order[OWN_CLASS:]
     mass = np.cumsum(n[rest] + SMOOTH)
     shared = CLASSES - OWN_CLASS - 1
-    of[rest] = OWN_CLASS + np.minimum((mass / mass[-1] * shared).astype(np.int64), shared - 1)
+    of[rest] = OWN_CLASS + np.minimum((mass / mass[-1] * shared).astype(np.int64), shared - 1) if len(rest) else 0
     of[n_ids] = CLASSES - 1
     total = np.bincount(of, weights=n + SMOOTH, minlength=CLASSES)
     return Classes(of, np.log10((n + SMOOTH) / total[of]), total / total.sum())
 
 
-Params = dict[str, np.ndarray]
+@dataclass
+class Pairs:
+    """Natural logs of P(group | class before) and P(class | group, class before); CLASSES stands before a text."""
+
+    group: np.ndarray  #: CLASSES + 1, GROUPS
+    member: np.ndarray  #: CLASSES + 1, GROUPS, PER
+
+
+def pairs_from(before: np.ndarray, cls: np.ndarray, count: np.ndarray, prior: np.ndarray) -> Pairs:
+    n = np.zeros((CLASSES + 1) * CLASSES, dtype=np.float64)
+    np.add.at(n, before * CLASSES + cls, count)
+    p = n.reshape(CLASSES + 1, CLASSES)
+    p = (p + PAIR_PRIOR * prior) / (p.sum(axis=1, keepdims=True) + PAIR_PRIOR)
+    p = np.maximum(p, 1e-12).reshape(CLASSES + 1, GROUPS, PER)
+    total = p.sum(axis=2)
+    return Pairs(np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32), np.log(p / total[:, :, None]).astype(np.float32))
+
+
+def _shapes() -> dict[str, tuple[int, ...]]:
+    return {"E": (CLASSES + 1, DIM), "P": (WINDOW, DIM), "QKV": (DIM, 3 * DIM), "O": (DIM, DIM), "G": (DIM, GROUPS), "M": (GROUPS, DIM, PER)}
+
+
+class Params:
+    """Weights as views of one flat array."""
+
+    def __init__(self, flat: np.ndarray):
+        self.flat, at = flat, 0
+        for name, shape in _shapes().items():
+            size = math.prod(shape)
+            setattr(self, name, flat[at : at + size].reshape(shape))
+            at += size
+
+    @staticmethod
+    def size() -> int:
+        return sum(math.prod(s) for s in _shapes().values())
 
 
-def initial(classes: Classes, seed: int = 1) -> Params:
+def initial(seed: int = 1) -> Params:
     rng = np.random.default_rng(seed)
-    make = lambda *shape: (rng.standard_normal(shape) / math.sqrt(DIM)).astype(np.float32)
-    return {"E": make(CLASSES + 1, DIM), "P": make(WINDOW, DIM) * np.float32(0.3), "Q": make(DIM, DIM), "K": make(DIM, DIM), "V": make(DIM, DIM), "O": make(DIM, DIM) * np.float32(0.3), "U": make(DIM, CLASSES) * np.float32(0.1), "b": np.log(classes.prior + 1e-9).astype(np.float32)}
+    p = Params(np.zeros(Params.size(), dtype=np.float32))
+    p.E[:] = rng.standard_normal(p.E.shape) / math.sqrt(DIM)
+    p.P[:] = rng.standard_normal(p.P.shape) * 0.3 / math.sqrt(DIM)
+    p.QKV[:] = rng.standard_normal(p.QKV.shape) / math.sqrt(DIM)
+    p.O[:] = rng.standard_normal(p.O.shape) * 0.5 / math.sqrt(DIM)
+    return p
 
 
 _MASK = np.where(np.tri(WINDOW, dtype=bool), 0.0, -1e9).astype(np.float32)
+_ONES = np.ones(WINDOW, dtype=np.float32)
+_MOST = np.float32(80)  #: exponentials stay finite
+_SCALE = np.float32(1 / math.sqrt(DIM))
 
 
-def attend(p: Params, x_ids: np.ndarray) -> tuple[np.ndarray, tuple]:
+def attend(p: Params, inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Hidden state of each position of windows of input classes (CLASSES marks the start)."""
-    x = p["E"][x_ids] + p["P"]
-    q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
-    s = (q * np.float32(1 / math.sqrt(DIM))) @ k.transpose(0, 2, 1)
-    s += _MASK
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    o = s @ v
-    return x + o @ p["O"], (x, q, k, v, s, o)
-
-
-def windows_of(cls: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, scored) of all windows of texts; cls: classes of all texts in order, each ending with END."""
-    n = 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE))
-    text = np.repeat(np.arange(len(count)), n)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    at = number[:, None] * STRIDE + np.arange(WINDOW)
-    inside = at < count[text][:, None]
-    pos = np.minimum(first[text][:, None] + at, len(cls) - 1)
-    targets = cls[pos]
-    inputs = np.where(at == 0, CLASSES, cls[np.maximum(pos - 1, 0)])
-    scored = inside & ((number[:, None] == 0) | (np.arange(WINDOW) >= WINDOW - STRIDE))
-    return inputs, targets, scored
+    x = p.E.take(inputs, axis=0)
+    x += p.P
+    qkv = (x.reshape(-1, DIM) @ p.QKV).reshape(*inputs.shape, 3 * DIM)
+    q, k, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
+    a = (q * _SCALE) @ k.transpose(0, 2, 1)
+    a += _MASK
+    np.minimum(a, _MOST, out=a)
+    np.exp(a, out=a)
+    a *= (1 / (a.reshape(-1, WINDOW) @ _ONES)).reshape(*inputs.shape, 1)
+    o = a @ v
+    h = (o.reshape(-1, DIM) @ p.O).reshape(x.shape)
+    h += x
+    return h, (x, q, k, v, a, o)
 
 
-def score_classes(p: Params, cls: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Sum of ln P(class | before) of each text."""
-    inputs, targets, scored = windows_of(cls, first, count)
-    n = 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE))
+@dataclass
+class Windows:
+    """All windows of texts; their positions are laid out a batch at a time."""
+
+    cls: np.ndarray  #: classes of all texts, each ending with END
+    first: np.ndarray  #: place of the text's first id, a window
+    count: np.ndarray  #: ids of its text
+    number: np.ndarray  #: its number in the text
+    text: np.ndarray
+    stride: int
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def batch(self, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, targets, scored); CLASSES marks the start of a text."""
+        number = self.number[which][:, None]
+        at = number * self.stride + _STEPS
+        inside = at < self.count[which][:, None]
+        pos = np.minimum(self.first[which][:, None] + at, len(self.cls) - 1)
+        targets = self.cls[pos]
+        inputs = np.where(at == 0, self.cls.dtype.type(CLASSES), self.cls[np.maximum(pos - 1, 0)])
+        return inputs, targets, inside & ((number == 0) | (_STEPS >= WINDOW - self.stride))
+
+
+_STEPS = np.arange(WINDOW)
+
+
+def windows_of(cls: np.ndarray, first: np.ndarray, count: np.ndarray, stride: int = STRIDE) -> Windows:
+    n = 1 + np.maximum(0, -(-(count - WINDOW) // stride))
     text = np.repeat(np.arange(len(count)), n)
+    return Windows(cls, first[text], count[text], np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n), text, stride)
+
+
+def _heads(p: Params, pairs: Pairs, h: np.ndarray, before: np.ndarray, target: np.ndarray):
+    """Exponentials of both levels and what they sum to, rows of a group together; (order, ends of groups, h, group, member, e1, e2, ln P)."""
+    group, member = target // PER, target % PER
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    h, before, group, member = h[order], before[order], group[order], member[order]
+    ends = np.searchsorted(group, np.arange(GROUPS + 1))
+    z1 = h @ p.G
+    z1 += pairs.group.take(before, axis=0)
+    z2 = pairs.member.reshape(-1, PER).take(before.astype(np.int64) * GROUPS + group, axis=0)
+    for g in range(GROUPS):
+        a, b = ends[g], ends[g + 1]
+        if a < b:
+            z2[a:b] += h[a:b] @ p.M[g]
+    rows = np.arange(len(h))
+    own = z1[rows, group] + z2[rows, member]
+    e1, e2 = np.exp(z1, out=z1), np.exp(z2, out=z2)
+    s1, s2 = e1 @ np.ones(GROUPS, np.float32), e2 @ np.ones(PER, np.float32)
+    return order, ends, h, group, member, e1, e2, s1, s2, own.astype(np.float64) - np.log(s1) - np.log(s2)
+
+
+def score_classes(p: Params, pairs: Pairs, cls: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sum of ln P(class | before) of each text."""
+    w = windows_of(cls, first, count)
     out = np.zeros(len(count))
-    ones = np.ones(CLASSES, dtype=np.float32)
-    head = np.concatenate([p["U"], p["b"][None]])
-    for s in range(0, len(inputs), BATCH_WINDOWS):
-        h, _ = attend(p, inputs[s : s + BATCH_WINDOWS])
-        ok = scored[s : s + BATCH_WINDOWS]
-        one = np.ones((int(ok.sum()), DIM + 1), dtype=np.float32)
-        one[:, :DIM] = h[ok]
-        z = one @ head
-        t = targets[s : s + BATCH_WINDOWS][ok]
-        own = z[np.arange(len(t)), t].astype(np.float64)
-        np.exp(z, out=z)
-        own -= np.log(z @ ones)
-        out += np.bincount(np.repeat(text[s : s + BATCH_WINDOWS], ok.sum(axis=1)), weights=own, minlength=len(out))
+    for s in range(0, len(w), BATCH_WINDOWS):
+        inputs, targets, ok = w.batch(slice(s, s + BATCH_WINDOWS))
+        h, _ = attend(p, inputs)
+        got = _heads(p, pairs, h[ok], inputs[ok], targets[ok])
+        row = np.repeat(w.text[s : s + BATCH_WINDOWS], ok.sum(axis=1))[got[0]]
+        low = int(w.text[s])
+        sums = np.bincount(row - low, weights=got[-1])
+        out[low : low + len(sums)] += sums
     return out
 
 
-def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[float, Params]:
+def gradients(p: Params, pairs: Pairs, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[float, Params]:
+    """Mean loss over the scored positions and its gradient."""
+    g = Params(np.zeros_like(p.flat))
     h, (x, q, k, v, a, o) = attend(p, inputs)
-    z = h @ p["U"] + p["b"]
-    z -= z.max(axis=2, keepdims=True)
-    e = np.exp(z)
-    total = e.sum(axis=2, keepdims=True)
-    n = max(1, int(scored.sum()))
-    own = np.take_along_axis(z, targets[:, :, None], 2)[:, :, 0] - np.log(total[:, :, 0])
-    loss = -float((own * scored).sum()) / n
-    dz = e / total
-    np.put_along_axis(dz, targets[:, :, None], np.take_along_axis(dz, targets[:, :, None], 2) - 1, 2)
-    dz *= (scored / np.float32(n))[:, :, None].astype(np.float32)
+    order, ends, hs, group, member, e1, e2, s1, s2, own = _heads(p, pairs, h[scored], inputs[scored], targets[scored])
+    n = max(1, len(own))
+    rows, one = np.arange(len(own)), np.float32(1 / n)
+    e1 *= (one / s1)[:, None]
+    e1[rows, group] -= one
+    e2 *= (one / s2)[:, None]
+    e2[rows, member] -= one
+    g.G[:] = hs.T @ e1
+    d = e1 @ p.G.T
+    for j in range(GROUPS):
+        b, c = ends[j], ends[j + 1]
+        if b < c:
+            g.M[j] = hs[b:c].T @ e2[b:c]
+            d[b:c] += e2[b:c] @ p.M[j].T
+    back = np.empty_like(d)
+    back[order] = d
+    dh = np.zeros_like(h)
+    dh[scored] = back
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"U": flat(h).T @ flat(dz), "b": flat(dz).sum(axis=0)}
-    dh = dz @ p["U"].T
-    g["O"] = flat(o).T @ flat(dh)
-    do = dh @ p["O"].T
+    g.O[:] = flat(o).T @ flat(dh)
+    do = (flat(dh) @ p.O.T).reshape(h.shape)
     da = do @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) / np.float32(math.sqrt(DIM))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    for name, d in (("Q", dq), ("K", dk), ("V", dv)):
-        g[name] = flat(x).T @ flat(d)
-    dx = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-    g["P"] = dx.sum(axis=0)
-    one = np.zeros((inputs.size, CLASSES + 1), dtype=np.float32)
-    one[np.arange(inputs.size), inputs.reshape(-1)] = 1
-    g["E"] = one.T @ flat(dx)
-    return loss, g
-
-
-def descend(p: Params, windows: tuple[np.ndarray, np.ndarray, np.ndarray], steps: int, rate: float, seed: int = 3) -> Params:
-    """Adam over batches of windows in random order; each window comes once before any comes again."""
-    inputs, targets, scored = windows
+    dqkv = np.empty((*inputs.shape, 3 * DIM), dtype=np.float32)
+    dqkv[..., 2 * DIM :] = a.transpose(0, 2, 1) @ do
+    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    da *= a
+    da *= _SCALE
+    dqkv[..., :DIM] = da @ k
+    dqkv[..., DIM : 2 * DIM] = da.transpose(0, 2, 1) @ q
+    g.QKV[:] = flat(x).T @ flat(dqkv)
+    dx = (flat(dqkv) @ p.QKV.T).reshape(h.shape)
+    dx += dh
+    g.P[:] = dx.sum(axis=0)
+    ids = inputs.reshape(-1)
+    by = np.argsort(ids.astype(np.uint16), kind="stable")
+    ids = ids[by]
+    start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    g.E[ids[start]] = np.add.reduceat(flat(dx)[by], start, axis=0)
+    return -float(own.sum()) / n, g
+
+
+class Adam:
+    def __init__(self, p: Params):
+        self.p, self.m, self.s, self.t = Params(p.flat.copy()), np.zeros_like(p.flat), np.zeros_like(p.flat), 0
+
+    def step(self, g: np.ndarray, rate: float) -> None:
+        self.t += 1
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * g
+        g *= g
+        g *= np.float32(0.01)
+        self.s *= np.float32(0.99)
+        self.s += g
+        size = np.sqrt(self.s)
+        size *= np.float32(1 / math.sqrt(1 - 0.99**self.t))
+        size += np.float32(1e-7)
+        np.divide(self.m, size, out=size)
+        size *= np.float32(rate / (1 - 0.9**self.t))
+        self.p.flat -= size
+
+
+def descend(state: Adam, pairs: Pairs, w: Windows, rate: float, steps: int | None = None, seed: int = 3) -> None:
+    """Batches of windows in random order; each window once (steps None), or rounds of all until `steps`, the rate then falling to 0."""
     rng = np.random.default_rng(seed)
-    p = {k: v.copy() for k, v in p.items()}
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    s = {k: np.zeros_like(v) for k, v in p.items()}
+    total = -(-len(w) // BATCH_WINDOWS) if steps is None else steps
     left = np.zeros(0, np.int64)
-    for t in range(1, steps + 1):
+    for t in range(total if len(w) else 0):
         if not len(left):
-            left = rng.permutation(len(inputs))
-        at, left = left[:64], left[64:]
-        _, g = gradients(p, inputs[at], targets[at], scored[at])
-        now = rate * min(1.0, 3 * (1 - t / (steps + 1)))
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-            p[k] = (p[k] - now * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
-    return p
-
-
-def pack(p: Params) -> np.ndarray:
-    return np.concatenate([p[k].reshape(-1) for k in sorted(p)])
-
-
-def unpack(v: np.ndarray, like: Params) -> Params:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = v[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
-    return out
+            left = rng.permutation(len(w))
+        at, left = np.sort(left[:BATCH_WINDOWS]), left[BATCH_WINDOWS:]
+        _, g = gradients(state.p, pairs, *w.batch(at))
+        state.step(g.flat, rate if steps is None else rate * min(1.0, 2 * (1 - t / total)))
 
 
 def subwords(w: tk.Words, encoder: Encoder, end_id: int, distinct: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,76 +342,135 @@ def subwords(w: tk.Words, encoder: Encoder, end_id: int, distinct: tuple[np.ndar
     per_text = np.bincount(w.row, weights=own, minlength=rows).astype(np.int64) + 1
     text_first = np.cumsum(per_text) - per_text
     out = np.full(int(per_text.sum()), end_id, dtype=np.int32)
-    source = np.repeat(begin[number], own) + np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-    place = np.arange(int(own.sum())) + np.repeat(w.row, own)  # one END after each text before
-    out[place] = ids[source]
+    steps = np.arange(int(own.sum()))
+    source = np.repeat(begin[number] - (np.cumsum(own) - own), own) + steps
+    out[steps + np.repeat(w.row, own)] = ids[source]  # one END after each text before
     return out, text_first, per_text
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a task's words, flushed before they grow large."""
-    total: dict[str, int] = {}
+BLOCK = "block long, doc_id array<long>, n_words array<long>, n_ids array<long>, trains array<boolean>, ids binary, at binary, words array<string>, trained array<long>"
 
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "c"])
-        total.clear()
-        return out
 
-    for batch in batches:
-        for _, _, offsets, data in tk.chunks(batch.column("text"), CHUNK):
-            w = tk.words(offsets, data, tk.NOT_SPACE)
-            _, first, count = np.unique(w.hashes(), return_index=True, return_counts=True)
-            for word, c in zip(w.texts(first), count.tolist()):
-                total[word] = total.get(word, 0) + c
-            if len(total) > 250_000:
-                yield flush()
-    if total:
-        yield flush()
-
-
-def _count_ids(encoder: Encoder, n_ids: int):
+def _narrow(values: np.ndarray, below: int) -> bytes:
+    return values.astype(np.uint16 if below <= 1 << 16 else np.int32).tobytes()
+
+
+def _wide(blob, n: int) -> np.ndarray:
+    """What _narrow packed, n numbers."""
+    return np.frombuffer(blob, dtype=np.uint16 if len(blob) == 2 * n else np.int32).astype(np.int32)
+
+
+def _read(encoder: Encoder, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_ids)
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, size = encoder(batch.column("word").to_pylist())
-            total += np.bincount(ids, weights=np.repeat(batch.column("c").to_numpy().astype(np.float64), size), minlength=n_ids)
+            for row, rows, offsets, data in tk.chunks(batch.column("text"), CHUNK):
+                w = tk.words(offsets, data, tk.NOT_SPACE)
+                _, first, number = np.unique(w.hashes(), return_index=True, return_inverse=True)
+                ids, _, count = subwords(w, encoder, end, (first, number))
+                trains = batch.column("trains").slice(row, rows)
+                trained = np.bincount(number, weights=trains.to_numpy(zero_copy_only=False)[w.row], minlength=len(first)).astype(np.int64)
+                one = lambda values: tk.list_array(np.array([len(values)]), values)
+                arrays = [
+                    pa.array([block]),
+                    one(batch.column("doc_id").slice(row, rows)),
+                    one(pa.array(w.count.astype(np.int64))),
+                    one(pa.array(count)),
+                    one(trains),
+                    pa.array([_narrow(ids, end + 1)], pa.binary()),
+                    pa.array([_narrow(number, len(first))], pa.binary()),
+                    one(pa.array(w.texts(first), pa.string())),
+                    one(pa.array(trained)),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in BLOCK.split(", ")])
+                block += 1
+
+    return run
+
+
+@dataclass
+class Corpus:
+    encoder: Encoder
+    end: int
+    blocks: DataFrame
+
+
+def read(spark: SparkSession, docs: DataFrame, encoder: Encoder, trains=None) -> Corpus:
+    """docs (doc_id, text) as blocks; trains: which rows a model learns from (none)."""
+    end = max(encoder.ranks.values()) + 1
+    trains = F.lit(False) if trains is None else F.coalesce(trains, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), trains.alias("trains"))
+    return Corpus(encoder, end, written(spark, rows.mapInArrow(_read(encoder, end), BLOCK), "blocks", **ROW_GROUPS))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(block, ids, first id of each text, ids of each text, whether it trains) of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            count = batch.column("n_ids")[i].values.to_numpy()
+            ids = _wide(batch.column("ids")[i].as_buffer(), int(count.sum()))
+            yield batch.column("block")[i].as_py(), ids, np.cumsum(count) - count, count, batch.column("trains")[i].values.to_numpy(zero_copy_only=False)
+
+
+def _count_ids(end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(end + 1, dtype=np.int64)
+        for _, ids, _, count, trains in _texts(batches):
+            total += np.bincount(ids[np.repeat(trains, count)], minlength=end + 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "c"])
+
+    return run
+
+
+def _count_pairs(classes: Classes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((CLASSES + 1) * CLASSES, dtype=np.int64)
+        for _, ids, first, count, trains in _texts(batches):
+            cls = classes.of[ids]
+            before = np.concatenate([[CLASSES], cls[:-1]])
+            before[first] = CLASSES
+            total += np.bincount((before * CLASSES + cls)[np.repeat(trains, count)], minlength=len(total))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at].astype(np.int64))], names=["id", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "c"])
 
     return run
 
 
-def _train(encoder: Encoder, classes: Classes, start: Params, steps_of, rate: float):
-    """A task's weights: (position, value times tokens) and its tokens under position -1."""
-    end = len(classes.of) - 1
+def _train(classes: Classes, pairs: Pairs, start: Params, rate: float, steps: int | None):
+    """A task's weights times its tokens, and its tokens at the end, by position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, tokens = start, 0
-        for batch in batches:
-            for _, _, offsets, data in tk.chunks(batch.column("text"), CHUNK):
-                ids, first, count = subwords(tk.words(offsets, data, tk.NOT_SPACE), encoder, end)
-                w = windows_of(classes.of[ids], first, count)
-                p = descend(p, w, steps_of(len(w[0])), rate)
-                tokens += len(ids)
+        state, tokens = Adam(start), 0
+        for _, ids, first, count, trains in _texts(batches):
+            if not trains.any():
+                continue
+            w = windows_of(classes.of[ids].astype(np.int16), first[trains], count[trains], WINDOW)
+            tokens += int(count[trains].sum())
+            descend(state, pairs, w, rate, steps, seed=3 + state.t)
         if tokens:
-            v = pack(p).astype(np.float64) * tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(v))), pa.array(np.concatenate([[float(tokens)], v]))], names=["at", "v"])
+            v = np.append(state.p.flat.astype(np.float64), 1.0) * tokens
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v)], names=["at", "v"])
 
     return run
 
 
-def _averaged(rows: DataFrame, like: Params) -> Params:
-    got = rows.groupBy("at").agg(F.sum("v").alias("v")).collect()  # one row a parameter
-    if not got:
-        return like
-    v = dict((r["at"], r["v"]) for r in got)
-    return unpack(np.array([v[i] for i in range(len(v) - 1)]) / v[-1], like)
+def _averaged(rows: DataFrame, otherwise: Params) -> Params:
+    got = rows.groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # one row a parameter
+    if not got.num_rows:
+        return otherwise
+    v = np.zeros(got.num_rows)
+    v[got.column("at").to_numpy()] = got.column("v").to_numpy()
+    return Params((v[:-1] / v[-1]).astype(np.float32))
 
 
 @dataclass
 class Model:
     encoder: Encoder
     classes: Classes
+    pairs: Pairs
     params: Params
     counts: DataFrame  #: word, c
     train_tokens: int  #: N
@@ -323,114 +478,81 @@ class Model:
     ends: int
 
 
-def train(spark: SparkSession, texts: DataFrame, vocabulary: str = VOCABULARY) -> Model:
-    """A model of the texts (doc_id, text)."""
-    encoder = Encoder(read_ranks(vocabulary))
-    n_ids = max(encoder.ranks.values()) + 1
-    counts = written(spark, texts.select("text").mapInArrow(_count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
+def train_blocks(spark: SparkSession, corpus: Corpus) -> Model:
+    """A model of the corpus's training texts."""
+    end, blocks = corpus.end, corpus.blocks
+    each = blocks.select(F.explode(F.arrays_zip("words", "trained")).alias("w")).filter("w.trained > 0")
+    counts = written(spark, each.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.trained").alias("c")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = texts.count()
-    ids = counts.mapInArrow(_count_ids(encoder, n_ids), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect()  # at most the vocabulary
-    classes = classes_from({r["id"]: r["c"] for r in ids}, n_ids, ends)
-    p = initial(classes)
-    h = F.xxhash64(F.lit(11), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    warm = texts.orderBy(h, "doc_id").limit(WARM_DOCS).select("text").coalesce(1)
-    p = _averaged(warm.mapInArrow(_train(encoder, classes, p, lambda n: WARM_STEPS, 0.02), "at long, v double"), p)
-    p = _averaged(texts.select("text").mapInArrow(_train(encoder, classes, p, lambda n: -(-n // 64), 0.003), "at long, v double"), p)
-    return Model(encoder, classes, p, counts, total[0] + ends, total[1] + (1 if ends else 0), ends)
-
+    coded = blocks.select("block", "n_ids", "ids", "trains")
+    ids = coded.mapInArrow(_count_ids(end), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()  # at most the vocabulary
+    seen = dict(zip(ids.column("id").to_pylist(), ids.column("c").to_pylist()))
+    ends = seen.pop(end, 0)
+    classes = classes_from(seen, end, ends)
+    got = coded.mapInArrow(_count_pairs(classes), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # at most CLASSES squared
+    pair = got.column("pair").to_numpy()
+    pairs = pairs_from(pair // CLASSES, pair % CLASSES, got.column("c").to_numpy(), classes.prior)
+    p = initial()
+    warm = coded.orderBy(F.xxhash64(F.lit(11), "block"), "block").limit(WARM_BLOCKS).coalesce(1)
+    p = _averaged(warm.mapInArrow(_train(classes, pairs, p, WARM_RATE, WARM_STEPS // WARM_BLOCKS), "at long, v double"), p)
+    p = _averaged(coded.mapInArrow(_train(classes, pairs, p, RATE, None), "at long, v double"), p)
+    return Model(corpus.encoder, classes, pairs, p, counts, total[0] + ends, total[1] + (1 if ends else 0), ends)
 
-BLOCK = "block long, doc_id array<long>, n array<long>, known array<long>, frequent array<double>, score array<double>, size array<int>, at array<int>, words array<string>"
 
+def train(spark: SparkSession, texts: DataFrame, vocabulary: str = VOCABULARY) -> Model:
+    """A model of the texts (doc_id, text)."""
+    return train_blocks(spark, read(spark, texts, Encoder(read_ranks(vocabulary)), F.lit(True)))
 
-def _score(model_parts, frequent_hash: np.ndarray, frequent_count: np.ndarray, n_v: tuple[int, int, int]):
-    encoder, classes, params = model_parts
-    n_train, distinct, ends = n_v
-    end = len(classes.of) - 1
-    below = float(n_train + distinct + 1)
 
+def _score(classes: Classes, pairs: Pairs, params: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for row, rows, offsets, data in tk.chunks(batch.column("text"), CHUNK):
-                w = tk.words(offsets, data, tk.NOT_SPACE)
-                h, first_word, number = np.unique(w.hashes(), return_index=True, return_inverse=True)
-                ids, first, count = subwords(w, encoder, end, (first_word, number))
-                score = score_classes(params, classes.of[ids], first, count) / math.log(10)
-                score += np.add.reduceat(classes.log_p[ids], first) if rows else 0
-                at = np.minimum(np.searchsorted(frequent_hash, h), max(0, len(frequent_hash) - 1))
-                is_frequent = frequent_hash[at] == h if len(frequent_hash) else np.zeros(len(h), bool)
-                c = np.where(is_frequent, frequent_count[at], 0) if len(frequent_hash) else np.zeros(len(h))
-                part = np.where(is_frequent, np.log10((c + 1) / below), 0.0)
-                rare_number = np.cumsum(~is_frequent) - 1
-                occurrence = ~is_frequent[number]
-                base = np.bincount(w.row, weights=part[number], minlength=rows) + math.log10((ends + 1) / below)
-                known = np.bincount(w.row, weights=is_frequent[number], minlength=rows) + (ends > 0)
-                one = lambda counts, values: tk.list_array(np.array([counts]), values)
-                rare = w.texts(first_word[~is_frequent])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block]),
-                        one(rows, batch.column("doc_id").slice(row, rows)),
-                        one(rows, pa.array(w.count + 1)),
-                        one(rows, pa.array(known.astype(np.int64))),
-                        one(rows, pa.array(base)),
-                        one(rows, pa.array(score)),
-                        one(rows, pa.array(np.bincount(w.row[occurrence], minlength=rows).astype(np.int32))),
-                        one(int(occurrence.sum()), pa.array(rare_number[number[occurrence]].astype(np.int32))),
-                        one(len(rare), pa.array(rare, pa.string())),
-                    ],
-                    names=[x.split()[0] for x in BLOCK.split(", ")],
-                )
-                block += 1
+        for block, ids, first, count, _ in _texts(batches):
+            out = score_classes(params, pairs, classes.of[ids].astype(np.int16), first, count) / math.log(10)
+            out += np.add.reduceat(classes.log_p[ids], first)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), tk.list_array(np.array([len(out)]), pa.array(out))], names=["block", "score"])
 
     return run
 
 
-def _finish(below: float):
+def _finish(n_train: int, distinct: int, ends: int):
+    below = float(n_train + distinct + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 values = lambda name: batch.column(name)[i].values
-                n, known, base, score = (values(x).to_numpy(zero_copy_only=False) for x in ("n", "known", "frequent", "score"))
-                size, at = values("size").to_numpy(), values("at").to_numpy()
-                counts = np.zeros(max(1, batch.column("n_words")[i].as_py()))
+                n = values("n_words").to_numpy()
+                counts = np.zeros(max(1, batch.column("distinct")[i].as_py()))
                 if batch.column("found")[i].is_valid:
-                    found = batch.column("found")[i].values
+                    found = values("found")
                     counts[found.field("pos").to_numpy()] = found.field("c").to_numpy()
-                row = np.repeat(np.arange(len(n)), size)
-                c = counts[at]
-                base = base + np.bincount(row, weights=np.log10((c + 1) / below), minlength=len(n))
-                known = known + np.bincount(row, weights=c > 0, minlength=len(n)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([values("doc_id"), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                c = counts[_wide(batch.column("at")[i].as_buffer(), int(n.sum()))]
+                row = np.repeat(np.arange(len(n)), n)
+                base = np.bincount(row, weights=np.log10((c + 1) / below), minlength=len(n)) + math.log10((ends + 1) / below)
+                known = np.bincount(row, weights=c > 0, minlength=len(n)).astype(np.int64) + (ends > 0)
+                yield pa.RecordBatch.from_arrays([values("doc_id"), pa.array(n + 1), pa.array(known), pa.array(base), values("score")], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score: a row for each row of docs."""
-    below = float(model.train_tokens + model.distinct + 1)
-    top = model.counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    if top:
-        w = tk.words(*next(tk.chunks(pa.array([" ".join(r["word"] for r in top)], pa.large_string()), 1 << 40))[2:], tk.NOT_SPACE)
-        h = w.hashes()
-        order = np.argsort(h)
-        frequent = h[order], np.array([r["c"] for r in top], dtype=np.float64)[order]
-    else:
-        frequent = np.zeros(0, np.uint64), np.zeros(0)
-    run = _score((model.encoder, model.classes, model.params), *frequent, (model.train_tokens, model.distinct, model.ends))
-    blocks = written(spark, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCK), "blocks")
+def score_blocks(corpus: Corpus, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score: a row for each row of the corpus."""
+    blocks = corpus.blocks
     asked = blocks.select("block", F.posexplode("words").alias("pos", "word"))
     hit = asked.join(model.counts, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))  # at most the words of a chunk
-    whole = blocks.select("block", "doc_id", "n", "known", "frequent", "score", "size", "at", F.size("words").alias("n_words")).join(hit, "block", "left")
-    return whole.mapInArrow(_finish(below), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = blocks.select("block", "n_ids", "ids", "trains").mapInArrow(_score(model.classes, model.pairs, model.params), "block long, score array<double>")
+    whole = blocks.select("block", "doc_id", "n_words", "at", F.size("words").alias("distinct")).join(scored, "block").join(hit, "block", "left")
+    return whole.mapInArrow(_finish(model.train_tokens, model.distinct, model.ends), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """score_blocks of docs (doc_id, text)."""
+    return score_blocks(read(spark, docs, model.encoder), model)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = crc_mod("doc_id", 7) == 2
-    model = train(spark, docs.filter(~held))
-    out = score(spark, docs, model)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    corpus = read(spark, docs, Encoder(read_ranks(VOCABULARY)), ~held)
+    model = train_blocks(spark, corpus)
+    return score_blocks(corpus, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -32,12 +32,14 @@ _rng = np.random.default_rng(20240607)
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 2**64))
+#: Bytes whose powers and prefix sums are held at once; a longer word is a slab of its own.
+_SLAB = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _powers or len(_powers["p"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, _SLAB + 1)
         with np.errstate(over="ignore"):
             for name, base in (("p", _P), ("i", _P_INV)):
                 t = np.full(size, base, dtype=np.uint64)
@@ -90,14 +92,22 @@ class Words:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e)]
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's bytes, by prefix sums of a polynomial."""
-        n = len(self.data)
-        power, inverse = _power_tables(n + 1)
-        with np.errstate(over="ignore"):
-            prefix = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(_LETTER[self.data] * power[:n], out=prefix[1:])
-            h = (prefix[self.end] - prefix[self.start]) * inverse[self.start]
-            return mix(h + (self.end - self.start).astype(np.uint64))
+        """64-bit hash of each word's bytes, by prefix sums of a polynomial over slabs of words."""
+        out = np.empty(len(self.start), dtype=np.uint64)
+        at = 0
+        while at < len(out):
+            base = int(self.start[at])
+            to = max(at + 1, int(np.searchsorted(self.end, base + _SLAB, side="right")))
+            start, end = self.start[at:to] - base, self.end[at:to] - base
+            n = int(end[-1])
+            power, inverse = _power_tables(n + 1)
+            with np.errstate(over="ignore"):
+                prefix = np.zeros(n + 1, dtype=np.uint64)
+                np.cumsum(_LETTER[self.data[base : base + n]] * power[:n], out=prefix[1:])
+                h = (prefix[end] - prefix[start]) * inverse[start]
+                out[at:to] = mix(h + (end - start).astype(np.uint64))
+            at = to
+        return out
 
 
 def words(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray) -> Words:
