@@ -5,13 +5,17 @@ size has been checked; each training text is scanned once, every hash hit is ver
 word by word, and hit spans (or whole documents) can be removed.
 
 Edge cases: null or empty texts have no words and no hits. Items without words have no
-window; items of fewer words than a window are one window. Repeated windows count for
-every item that has them; repeated documents and items are rows like any other. An empty
-benchmark leaves every document clean. Extra columns of the input are not read.
-
-The broadcast grows with the benchmark only. Its bound, ``max_broadcast_bytes`` of item
-text, is checked before anything is sent; a larger benchmark is processed in passes of
-bounded size, each adding its hits to a row, so nothing is left out.
+window; items of fewer words than a window are one window. An item is its item_id: rows that
+repeat an item_id are one item with the windows of all its rows; rows without an item_id mark
+the words they hit, but no item can be named for them, so they never count as one. Repeated
+windows count for every item that has them; repeated documents are rows like any other. An
+empty benchmark leaves every document clean. Extra columns of the input are not read.
+
+The broadcast grows with the benchmark only. Its bound, ``max_broadcast_bytes`` of item text,
+is checked before anything is sent. A larger benchmark is processed in passes of bounded
+size: each pass is a job whose result, documents with the hits so far, is written to the
+shared folder before the next group of items is read, so driver and tasks hold one group at
+a time and nothing is left out. (A single item over the bound is a group of its own.)
 """
 
 from __future__ import annotations
@@ -20,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from codestrata.llm import textkit as tk
+from codestrata.llm.shared import written
 
 HIT_SCHEMA = "doc_id long, n_words long, hit_words array<long>, items array<string>"
 WINDOW = 8
@@ -33,9 +39,15 @@ MAX_BROADCAST_BYTES = 32 << 20
 class WindowSet:
     """Normalised windows of the items, by width, with an exact check of each hit."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int = WINDOW):
         self.width = width
-        self.items = [str(i) for i, _ in items]
+        self.items: list[str] = []
+        number = {}
+        for i, _ in items:
+            if i is not None and i not in number:
+                number[i] = len(self.items)
+                self.items.append(i)
+        of_row = [number.get(i) for i, _ in items]
         column = pa.array([t for _, t in items], pa.large_string())
         vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[int]] = {}
@@ -47,7 +59,9 @@ class WindowSet:
             for r in range(rows):
                 own = tuple(ids[w.first[r] : w.first[r] + w.count[r]])
                 for k in range(max(1, len(own) - width + 1) if own else 0):
-                    found.setdefault(own[k : k + width], set()).add(base + r)
+                    owners = found.setdefault(own[k : k + width], set())
+                    if of_row[base + r] is not None:
+                        owners.add(of_row[base + r])
             base += rows
         h = tk.words(*next(tk.chunks(pa.array([b" ".join(vocabulary).decode()], pa.large_string())))[2:], tk.ALNUM).hashes() if vocabulary else np.zeros(0, np.uint64)
         order = np.argsort(h)
@@ -121,8 +135,8 @@ def _scan_batches(windows: WindowSet, again: bool, more: bool):
     return scan
 
 
-def item_groups(benchmark: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in groups of bounded size, in a stable order."""
+def item_groups(benchmark: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items in groups of bounded size, in a stable order; the driver holds one at a time."""
     group, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text").toLocalIterator():
         own = len((r["text"] or "").encode())
@@ -134,13 +148,24 @@ def item_groups(benchmark: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_B
     yield group
 
 
+def _passes(benchmark: DataFrame, max_broadcast_bytes: int) -> Iterator[tuple[list[tuple[str | None, str | None]], bool]]:
+    """(group, whether another follows)."""
+    held = None
+    for group in item_groups(benchmark, max_broadcast_bytes):
+        if held is not None:
+            yield held, True
+        held = group
+    yield held, False
+
+
 def scan_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, hit_words (indices), items: a row for each document."""
-    groups = list(item_groups(benchmark, max_broadcast_bytes))
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    for k, items in enumerate(groups):
-        more = k + 1 < len(groups)
-        out = out.mapInArrow(_scan_batches(WindowSet(items, width), k > 0, more), HIT_SCHEMA + ", text string" * more)
+    again = False
+    for items, more in _passes(benchmark, max_broadcast_bytes):
+        out = out.mapInArrow(_scan_batches(WindowSet(items, width), again, more), HIT_SCHEMA + ", text string" * more)
+        out = written(docs.sparkSession, out, "hits") if more else out
+        again = True
     return out
 
 
@@ -156,50 +181,84 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_items
     )
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """docs with the words of every hit window cut out of `text`; texts without a hit stay byte for byte."""
-    groups = [WindowSet(g, width) for g in item_groups(benchmark)]
+_HITS = "_hit_words"
+_ITEMS = "_hit_items"
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, width: int, max_broadcast_bytes: int) -> DataFrame:
+    """docs as they are, with the words hit and the items found; a pass after the first adds to both."""
+    out, schema = docs, StructType([*docs.schema.fields, StructField(_HITS, ArrayType(IntegerType())), StructField(_ITEMS, ArrayType(StringType()))])
+    at, again = docs.columns.index("text"), False
+    for items, more in _passes(benchmark, max_broadcast_bytes):
+        windows = WindowSet(items, width)
+
+        def mark(batches: Iterator[pa.RecordBatch], windows=windows, again=again) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words, names = [], []
+                for row, rows, offsets, data in tk.chunks(batch.column(at)):
+                    w = tk.words(offsets, data, tk.ALNUM)
+                    hit, items = windows.scan(w)
+                    words += [np.flatnonzero(hit[w.first[r] : w.first[r] + w.count[r]]).tolist() for r in range(rows)]
+                    names += [[windows.items[i] for i in x] for x in items]
+                arrays = list(batch.columns)
+                if again:
+                    words = [sorted({*x, *y}) for x, y in zip(batch.column(len(arrays) - 2).to_pylist(), words)]
+                    names = [sorted({*x, *y}) for x, y in zip(batch.column(len(arrays) - 1).to_pylist(), names)]
+                    arrays = arrays[:-2]
+                yield pa.RecordBatch.from_arrays(arrays + [pa.array(words, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=[f"c{i}" for i in range(len(arrays))] + [_HITS, _ITEMS])
+
+        out = out.mapInArrow(mark, _numbered(schema))
+        out = written(docs.sparkSession, out, "marked") if more else out
+        again = True
+    return out
+
+
+def _numbered(schema: StructType) -> StructType:
+    """Columns by number, but for the two of hits: names of docs may clash with theirs, or differ by case alone."""
+    last = len(schema) - 2
+    return StructType([StructField(f"c{i}" if i < last else f.name, f.dataType) for i, f in enumerate(schema)])
+
+
+def _named(marked: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of docs under their own names again; text: in place of theirs."""
     at = docs.columns.index("text")
+    cols = [text if i == at and text is not None else F.col(f"c{i}") for i in range(len(docs.columns))]
+    return marked.select(*[c.alias(n) for c, n in zip(cols, docs.columns)])
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """docs with the words of every hit window cut out of `text`; texts without a hit stay byte for byte."""
+    marked = _marked(docs, benchmark, width, max_broadcast_bytes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[str | None] = batch.column(at).to_pylist()
-            for row, rows, offsets, data in tk.chunks(batch.column(at)):
+            column = batch.column(0)
+            lists = batch.column(1)
+            out: list[str | None] = column.to_pylist()
+            for row, rows, offsets, data in tk.chunks(column):
                 w = tk.words(offsets, data, tk.ALNUM)
-                hit = np.zeros(len(w.start), bool)
-                for g in groups:
-                    hit |= g.scan(w)[0]
-                for r in np.unique(w.row[hit]):
+                for r in np.flatnonzero(lists.slice(row, rows).value_lengths().to_numpy()):
                     keep = np.ones(offsets[r + 1] - offsets[r], bool)
-                    own = np.arange(w.first[r], w.first[r] + w.count[r])
-                    for i in own[hit[own]]:
+                    for i in w.first[r] + lists[row + int(r)].values.to_numpy():
                         keep[w.start[i] - offsets[r] : w.end[i] - offsets[r]] = False
                     out[row + r] = data[offsets[r] : offsets[r + 1]][keep].tobytes().decode("utf-8", "replace")
-            arrays = list(batch.columns)
-            arrays[at] = pa.array(out, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], names=names)
 
-    return docs.mapInArrow(cut, docs.schema)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_items: int = 2) -> DataFrame:
-    """docs without those that hold windows of at least min_items items; rows are decided in place, without a join."""
-    groups = [WindowSet(g, width) for g in item_groups(benchmark)]
+    rest = [f"c{i}" for i, n in enumerate(docs.columns) if n != "text"]
     at = docs.columns.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = np.ones(batch.num_rows, bool)
-            for row, rows, offsets, data in tk.chunks(batch.column(at)):
-                w = tk.words(offsets, data, tk.ALNUM)
-                found = [set() for _ in range(rows)]
-                for k, g in enumerate(groups):
-                    for r, x in enumerate(g.scan(w)[1]):
-                        found[r].update((k, i) for i in x)
-                mask[row : row + rows] = [len(x) < min_items for x in found]
-            yield batch.filter(pa.array(mask))
-
-    return docs.mapInArrow(keep, docs.schema)
+    names = [f"c{at}", *rest]
+    schema = StructType([StructField(f"c{at}", StringType())] + [StructField(c, docs.schema[int(c[1:])].dataType) for c in rest])
+    done = marked.select(F.col(f"c{at}").cast("string"), _HITS, *rest).mapInArrow(cut, schema)
+    return _named(done, docs, F.col(f"c{at}"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_items: int = 2, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """docs without those that hold windows of at least min_items items (0: none is dropped; 1: a hit without item_id counts too); rows are decided in place, without a join."""
+    marked = _marked(docs, benchmark, width, max_broadcast_bytes)
+    gone = F.size(_ITEMS) >= min_items
+    if min_items == 1:
+        gone = F.size(_HITS) > 0
+    return _named(marked.filter(~gone) if min_items else marked, docs)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

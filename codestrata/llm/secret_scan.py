@@ -9,8 +9,10 @@ and lag-one serial correlation. The three p-values combine by their smallest (Si
 Random tokens have uniform combined p-values, other tokens pile up near 0. Per length
 class and encoding, the share of non-random tokens above a threshold t is estimated from
 all candidates of the corpus (Storey: the upper half of p-values belongs to random
-tokens), and the smallest t is taken at which that share is at most ``FDR``: short classes,
-where tests have little power, need a higher p-value or yield nothing.
+tokens; their number is taken one standard deviation low), and the smallest t is taken at
+which that share is at most ``FDR``: short classes, where tests have little power, need a
+higher p-value. A class too scarce to show it keeps t = 0.5, where none is expected; a class
+without p-values there yields nothing.
 
 Two passes: the first writes candidates (not texts) and counts p-values in ``BINS`` bins per
 class, a table of bounded size; the second applies the thresholds.
@@ -127,6 +129,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def _united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of sorted spans, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
 KINDS = ("assign", "access", "hex", "random")
 FOUND = "doc_id long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,kind:int,end:long,cls:string,p:double>>"
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
@@ -146,10 +159,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = column[i].as_py()
             base = base_spans(text)
             base_out[i] = [{"start": s, "kind": k, "end": e} for s, k, e in base]
-            taken = [(s, e) for s, _, e in base]
+            taken, k = _united(base), 0
             for m in CANDIDATE.finditer(text):
                 s, e = m.span()
-                if any(a < e and s < b for a, b in taken):
+                while k < len(taken) and taken[k][1] <= s:
+                    k += 1
+                if k < len(taken) and taken[k][0] < e:
                     continue
                 name = encoding_of(m[0])
                 if name is None or not any(c.isdigit() for c in m[0]) and m[0].lower() == m[0]:
@@ -161,21 +176,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def thresholds(histogram: list[tuple[str, int, int]], fdr: float = FDR) -> dict[str, float]:
     """Class -> smallest p-value at which the estimated share of non-random tokens is at most fdr. histogram: (class, bin, count)."""
+    bins: dict[str, np.ndarray] = {}
+    for cls, b, k in histogram:
+        bins.setdefault(cls, np.zeros(BINS))[b] += k
     out: dict[str, float] = {}
-    for cls in {c for c, _, _ in histogram}:
-        n = np.zeros(BINS)
-        for c, b, k in histogram:
-            if c == cls:
-                n[b] += k
-        # random tokens per bin, from the upper half; a little below its mean so that scarce classes stay out
-        half = n[BINS // 2 :].sum()
-        random = max(0.0, half - math.sqrt(half)) / (BINS - BINS // 2)
-        above = np.cumsum(n[::-1])[::-1]
-        for b in range(BINS):
-            expected = random * (BINS - b)
-            if above[b] and (above[b] - expected) / above[b] <= fdr + math.sqrt(half) / max(half, 1e-9):
-                out[cls] = b / BINS
-                break
+    for cls, n in bins.items():
+        upper = n[BINS // 2 :].sum()
+        if not upper:
+            continue
+        # random tokens a bin, one standard deviation below what the upper half shows
+        random = max(0.0, upper - math.sqrt(upper)) / (BINS - BINS // 2)
+        above = np.cumsum(n[::-1])[::-1][: BINS // 2]
+        ok = np.flatnonzero(above - random * (BINS - np.arange(BINS // 2)) <= fdr * above)
+        out[cls] = (int(ok[0]) if len(ok) else BINS // 2) / BINS
     return out
 
 

@@ -18,7 +18,7 @@ SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, value in {"WARM_STEPS": 30, "TRAIN_SHARE": 2, "FREQUENT": 4}.items():
+    for name, value in {"WARM_STEPS": 20}.items():
         monkeypatch.setattr(lm_scoring, name, value)
 
 
@@ -48,8 +48,9 @@ def test_lm_is_a_distribution_and_windows_score_once(small):
     counts = np.array([1, 31, 32, 33, 57, 100])
     first = np.cumsum(counts) - counts
     cls = np.arange(counts.sum()) % lm_scoring.CLASSES
-    inputs, targets, scored = lm_scoring.windows_of(cls, first, counts)
-    assert sorted(targets[scored]) == sorted(cls) and scored.sum() == counts.sum()
+    for stride in (lm_scoring.STRIDE, lm_scoring.WINDOW):
+        _, targets, scored = lm_scoring.windows_of(cls, first, counts, stride).batch(slice(None))
+        assert sorted(targets[scored]) == sorted(cls) and scored.sum() == counts.sum()
     classes = lm_scoring.classes_from({i: 5 for i in range(300)}, 300, 3)
     assert abs(classes.prior.sum() - 1) < 1e-9
     for k in range(lm_scoring.CLASSES):
@@ -57,13 +58,54 @@ def test_lm_is_a_distribution_and_windows_score_once(small):
         assert not len(p) or abs(p.sum() - 1) < 1e-9
 
 
-def test_lm_trains_on_every_text(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "WARM_STEPS", 5)
+def some_pairs(seed=4):
+    rng = np.random.default_rng(seed)
+    prior = rng.random(lm_scoring.CLASSES)
+    return lm_scoring.pairs_from(*rng.integers(0, lm_scoring.CLASSES, (2, 5000)), np.ones(5000), prior / prior.sum())
+
+
+def some_params(seed=5):
+    p = lm_scoring.initial()
+    p.flat[:] += np.random.default_rng(seed).standard_normal(len(p.flat)) * 0.1
+    return p
+
+
+def naive_score(p, pairs, cls):
+    """ln P of one text, window by window, row by row, from the definition alone."""
+    total, w, d = 0.0, lm_scoring.WINDOW, lm_scoring.DIM
+    for start in range(0, max(1, len(cls) - w + lm_scoring.STRIDE), lm_scoring.STRIDE):
+        before = [cls[i - 1] if i else lm_scoring.CLASSES for i in range(start, min(start + w, len(cls)))]
+        x = [p.E[c].astype(float) + p.P[j] for j, c in enumerate(before)]
+        qkv = [r @ p.QKV.astype(float) for r in x]
+        for j in range(len(before)):
+            if start and j < w - lm_scoring.STRIDE:
+                continue
+            weight = [math.exp(qkv[j][:d] @ qkv[i][d : 2 * d] / math.sqrt(d)) for i in range(j + 1)]
+            h = x[j] + sum(a * qkv[i][2 * d :] for i, a in enumerate(weight)) / sum(weight) @ p.O.astype(float)
+            z = h @ p.G + pairs.group[before[j]]
+            m = np.array([h @ p.M[g] + pairs.member[before[j], g] for g in range(lm_scoring.GROUPS)])
+            joint = np.log(np.exp(z) / np.exp(z).sum())[:, None] + m - np.log(np.exp(m).sum(axis=1, keepdims=True))
+            assert abs(np.exp(joint).sum() - 1) < 1e-6
+            total += joint.reshape(-1)[cls[start + j]]
+    return total
+
+
+def test_lm_scores_against_a_naive_forward_pass():
+    counts = np.array([1, 20, 32, 33, 75, 200])
+    first = np.cumsum(counts) - counts
+    cls = np.random.default_rng(2).integers(0, lm_scoring.CLASSES, counts.sum()).astype(np.int16)
+    p, pairs = some_params(), some_pairs()
+    got = lm_scoring.score_classes(p, pairs, cls, first, counts)
+    want = [naive_score(p, pairs, cls[a : a + n].tolist()) for a, n in zip(first, counts)]
+    assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_lm_trains_on_every_text(spark, small, monkeypatch):
     tokens, averaged = [], lm_scoring._averaged
 
-    def spy(rows, like):
-        tokens.append(rows.filter("at = -1").agg(F.sum("v")).first()[0])
-        return averaged(rows, like)
+    def spy(rows, otherwise):
+        tokens.append(rows.groupBy("at").agg(F.sum("v").alias("v")).orderBy(F.desc("at")).first()["v"])
+        return averaged(rows, otherwise)
 
     monkeypatch.setattr(lm_scoring, "_averaged", spy)
     rows = corpus(90)
@@ -73,33 +115,51 @@ def test_lm_trains_on_every_text(spark, monkeypatch):
 
 
 def test_lm_descends_over_every_window_once(monkeypatch):
-    classes = lm_scoring.classes_from({i: i + 1 for i in range(300)}, 300, 3)
-    p, seen, gradients = lm_scoring.initial(classes), [], lm_scoring.gradients
+    seen, gradients = [], lm_scoring.gradients
 
-    def spy(q, inputs, targets, scored):
+    def spy(p, pairs, inputs, targets, scored):
         seen.extend(targets[:, 0].tolist())
-        return gradients(q, inputs, targets, scored)
+        return gradients(p, pairs, inputs, targets, scored)
 
     monkeypatch.setattr(lm_scoring, "gradients", spy)
-    t = np.repeat(np.arange(150)[:, None], lm_scoring.WINDOW, 1)
-    lm_scoring.descend(p, (t, t, np.ones(t.shape, bool)), 3, 0.003)
+    monkeypatch.setattr(lm_scoring, "BATCH_WINDOWS", 64)
+    n = lm_scoring.WINDOW
+    cls = np.repeat(np.arange(150), n).astype(np.int16)
+    w = lm_scoring.windows_of(cls, np.arange(150) * n, np.full(150, n), n)
+    lm_scoring.descend(lm_scoring.Adam(lm_scoring.initial()), some_pairs(), w, 0.003)
     assert sorted(seen) == list(range(150))
 
 
 def test_lm_gradients():
-    classes = lm_scoring.classes_from({i: i + 1 for i in range(300)}, 300, 3)
-    p = {k: v.astype(np.float64) for k, v in lm_scoring.initial(classes).items()}
     rng = np.random.default_rng(0)
+    p = lm_scoring.Params(some_params().flat.astype(np.float64))
     x, t = rng.integers(0, lm_scoring.CLASSES, (2, 3, lm_scoring.WINDOW))
-    scored = np.ones(t.shape, bool)
-    _, g = lm_scoring.gradients(p, x, t, scored)
-    for k in ("E", "Q", "K", "V", "O", "U", "P"):
-        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
-        q = {n: v.copy() for n, v in p.items()}
-        q[k][at] += 1e-5
-        up = lm_scoring.gradients(q, x, t, scored)[0]
-        q[k][at] -= 2e-5
-        assert abs((up - lm_scoring.gradients(q, x, t, scored)[0]) / 2e-5 - g[k][at]) < 1e-4 + 0.02 * abs(g[k][at])
+    scored = rng.random(t.shape) < 0.8
+    pairs = some_pairs()
+    _, g = lm_scoring.gradients(p, pairs, x, t, scored)
+    at = 0
+    for name, shape in lm_scoring._shapes().items():
+        size = math.prod(shape)
+        k = at + int(np.abs(g.flat[at : at + size]).argmax())
+        at += size
+        loss = []
+        for step in (1e-4, -1e-4):
+            q = lm_scoring.Params(p.flat.copy())
+            q.flat[k] += step
+            loss.append(lm_scoring.gradients(q, pairs, x, t, scored)[0])
+        assert abs((loss[0] - loss[1]) / 2e-4 - g.flat[k]) < 1e-4 + 0.02 * abs(g.flat[k]), name
+
+
+def test_lm_long_text_and_learning(spark, small, monkeypatch):
+    """A text longer than a chunk is scored whole; a text like the training texts scores above the same words in random order."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", 1 << 12)
+    monkeypatch.setattr(lm_scoring, "WARM_STEPS", 200)
+    line = "one two three four five six seven eight "
+    mixed = line.split() * 200
+    random.Random(3).shuffle(mixed)
+    model = lm_scoring.train(spark, docs(spark, [(i, line * 20) for i in range(20)]))
+    got = {r.doc_id: r for r in lm_scoring.score(spark, docs(spark, [(1, line * 200), (2, " ".join(mixed)), (3, "one")]), model).collect()}
+    assert got[1].n_tokens == 1601 and got[1].base_score == pytest.approx(got[2].base_score) and got[1].score > got[2].score
 
 
 def test_lm_empty(spark, small):
@@ -163,10 +223,10 @@ def test_mixing_exponent_meets_entropy(spark):
 
 
 def test_search_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(bm25, "SHARD_BYTES", 3000)
-    monkeypatch.setattr(bm25, "BLOCK", 8)
-    monkeypatch.setattr(bm25, "DENSE", 6)
-    monkeypatch.setattr(bm25, "QUERY_BLOCK", 3)
+    for name, value in {"SHARD_BYTES": 9000, "SHARD_DOCS": 50, "BLOCK": 2, "DENSE": 6, "BATCH": 3, "QUERY_BYTES": 300}.items():
+        monkeypatch.setattr(bm25, name, value)
+    opened, evaluate = [], bm25.Shard._evaluate
+    monkeypatch.setattr(bm25.Shard, "_evaluate", lambda self, mask, *rest: opened.append(mask.mean()) or evaluate(self, mask, *rest))
     rows = corpus(120) + [(200, corpus(120)[3][1]), (201, None), (202, "")]
     texts = {i: SPACE.findall("".join(x.lower() if x < "\x7f" else x for x in t or "")) for i, t in rows}
     real = [w for w in texts.values() if w]
@@ -187,6 +247,39 @@ def test_search_is_exact(spark, monkeypatch):
     assert bm25.search(spark, docs(spark, rows).limit(0), queries.limit(0)).count() == 0
 
 
+def test_search_of_repeated_ids_nulls_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD_BYTES", 2000)
+    rows = [(1, "a b"), (1, "b c"), (2, "a b c " * 2000), (None, "c"), (None, "c"), (3, "b c"), (3, "b c"), (4, None), (5, " ")]
+    got = bm25.search(spark, docs(spark, rows), docs(spark, [(1, "a b"), (1, "b c"), (None, "a"), (4, None)])).orderBy("query_id", "rank").collect()
+    assert {r.query_id for r in got} == {1} and len(got) == 7  # one query of the words of both rows
+    assert [r["rank"] for r in got] == list(range(1, 8)) and sorted(r.doc_id or 0 for r in got) == [0, 0, 1, 1, 2, 3, 3]
+    same = [r for r in got if r.doc_id is None]
+    assert same[0].score == same[1].score
+
+
+def test_search_skips_blocks(monkeypatch):
+    """Blocks that cannot reach the threshold are not opened, and the result is that of scoring everything."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(rng.choice(words[20 * (i % 4) : 20 * (i % 4) + 20], 12)) for i in range(400)]
+    dense = np.sort(np.unique(bm25._term_rows(bm25.tk.words(*next(bm25.tk.chunks(pa.array([" ".join(words[:6])])))[2:], bm25.tk.NOT_SPACE))[1]))
+    row = bm25._posting_lists(pa.array(range(400)), pa.array(texts, pa.large_string()), dense)
+    blob = lambda k, kind: np.frombuffer(row.column(k)[0].as_buffer(), dtype=kind)
+    shard = bm25.Shard(row.column(0)[0].values.to_numpy(), blob(1, np.int64), blob(2, np.int64), blob(3, np.int32), blob(4, np.int32).astype(np.int64), blob(5, np.int32), dense, 12.0)
+    term = lambda t: np.unique(bm25._term_rows(bm25.tk.words(*next(bm25.tk.chunks(pa.array([t])))[2:], bm25.tk.NOT_SPACE))[1])
+    table = pa.table({"query_id": pa.array([0, 1, 2]), "terms": pa.array([[{"term": int(x), "idf": 1.0 + int(x) % 3} for x in term(texts[i])] for i in (0, 1, 2)])})
+    queries, masks, evaluate = bm25.Queries(table, dense), [], bm25.Shard._evaluate
+    monkeypatch.setattr(bm25.Shard, "_evaluate", lambda self, mask, *rest: masks.append(mask.sum()) or evaluate(self, mask, *rest))
+    pruned, whole = bm25.Best(3, 3), bm25.Best(3, 400)
+    queries.search(shard, pruned)
+    assert sum(masks) < 3 * shard.blocks * 0.6
+    queries.search(shard, whole)
+    assert (pruned.score == whole.score[:, :3]).all() and (pruned.doc == whole.doc[:, :3]).all()
+
+
 def test_sharding(spark):
     rows = [(i, "x" * (i % 300)) for i in range(500)] + [(7, "dup" * 50)] * 40 + [(None, None), (900, "y" * 5000)]
     placed = sharding.assign(spark, docs(spark, rows), 2000, 3).collect()
@@ -197,10 +290,30 @@ def test_sharding(spark):
     assert all(sum(r.n_bytes for r in x) <= 2000 or len(x) == 1 for x in by.values())
     depth = {(r.depth, r.prefix) for r in placed}
     assert not any((d - k, p >> k) in depth for d, p in depth for k in range(1, d + 1))  # leaves only
+    assert max(r.depth for r in placed) < 20  # a row over the limit, or rows of one key, do not split on
+    assert sum(r.page > 0 for r in placed) == 42  # 41 rows of the repeated key, one large row
     one = sharding.assign(spark, docs(spark, rows), 1 << 30).select("shard").distinct().collect()
     assert [r.shard for r in one] == ["00-0"] and sharding.assign(spark, docs(spark, rows).limit(0)).count() == 0
 
 
+def test_sharding_against_brute_force(spark, monkeypatch):
+    """The registered SQL at a small limit, and pages of a key of many rows dealt to several blocks."""
+    import duckdb
+
+    rows = [(i, "x" * (i % 300)) for i in range(300)] + [(7, "dup" * 50)] * 40 + [(None, None), (900, "y" * 5000), (901, "")]
+    data = docs(spark, rows)
+    got = sorted(tuple(r) for r in sharding.assign(spark, data.filter("doc_id IS NOT NULL"), 2000, 4).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r for r in rows if r[0] is not None])
+    assert got == sorted(con.execute("SELECT doc_id, shard, depth, prefix, page, n_bytes FROM (" + sharding.sql("documents", 2000) + ")").fetchall())
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 10)
+    by = defaultdict(list)
+    for r in sharding.assign(spark, data, 2000, 4).collect():
+        by[r.shard].append(r)
+    assert sum(map(len, by.values())) == len(rows) and all(sum(r.n_bytes for r in x) <= 2000 or len(x) == 1 for x in by.values())
+
+
 def groups_of(rows, width, threshold=80):
     sets = {}
     for i, t in rows:

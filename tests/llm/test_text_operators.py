@@ -56,6 +56,22 @@ def test_decontaminate_odd_and_empty(spark):
     assert decontaminate.report(docs(spark, ODD).limit(0), bench).count() == 0
 
 
+def test_decontaminate_repeated_and_null_items(spark):
+    """An item is its id, in one pass and in several; hits of rows without an id count as words only."""
+    one, two, anon = (" ".join(f"{c}{i}" for i in range(9)) for c in "abn")
+    bench = spark.createDataFrame([(1, one), (1, two), (1, one), (None, anon), (2, None)], "item_id long, text string")
+    rows = [(1, f"{one} x {two}"), (2, anon), (3, "clean " * 20)]
+    for limit in (1 << 20, 10):
+        got = {r.doc_id: r for r in decontaminate.scan_hits(docs(spark, rows), bench, 8, limit).collect()}
+        assert got[1]["items"] == ["1"] and len(got[1].hit_words) == 18 and got[2]["items"] == [] and len(got[2].hit_words) == 9
+        kept = lambda least: sorted(r.doc_id for r in decontaminate.drop_contaminated(docs(spark, rows), bench, 8, least, limit).collect())  # noqa: B023, E731
+        assert (kept(0), kept(1), kept(2)) == ([1, 2, 3], [3], [1, 2, 3])
+        cut = decontaminate.remove_spans(docs(spark, rows), bench, 8, limit)
+        assert cut.columns == docs(spark, rows).columns and {r.doc_id: r.text.split() for r in cut.collect()} == {1: ["x"], 2: [], 3: ["clean"] * 20}
+    report = {r.doc_id: r for r in decontaminate.report(docs(spark, rows), bench).collect()}
+    assert not report[1].contaminated and report[2].items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "&amp;#0; &#0; &nl;", "[INST", "<", "", None, "line\nbreak", "<s>[INST] user\nx [/INST]</s>\n"]
     rows = [(c, t, ["user", "assistant", None, "a\nb<s>"][(c + t) % 4], nasty[(c * 3 + t) % len(nasty)]) for c in range(4) for t in range(8)]
@@ -89,6 +105,46 @@ def test_secrets(spark):
     assert secret_scan.redact("a SECRET b", [(2, 8), (4, 8)]) == "a [secret] b"
 
 
+def test_scarce_class_reports_no_plain_token(spark):
+    """One random token among many copies of a repeating one: the copies are not secrets."""
+    plain = "ab12" * 8
+    rows = [(i, f"id {plain} end") for i in range(50)] + [(99, "key x9Qz7LmT4vKd81RbWc5Yh0Ns3JfPe6Ug end")]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.scan(spark, docs(spark, [(i, t.replace("ab12", "aZ1g")) for i, t in rows])).collect()}
+    assert all(got[i] == [] for i in range(50))
+    assert secret_scan.thresholds([("c", 0, 50)]) == {} and secret_scan.thresholds([("c", 0, 50), ("c", 70, 1)]) == {"c": 0.5}
+    assert secret_scan.thresholds([("c", b, 100) for b in range(100)])["c"] <= 0.02
+
+
+def test_secret_base_against_brute_force(spark):
+    rng = random.Random(11)
+    bits = ["password", "TOKEN", "api_key", "apikey", "secret", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "deadbeef", "=", ":", " ", '"', "'", "/", ".", "é", "\n", "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    found = {r.doc_id: [(s.start, s.kind, s.end) for s in r.base] for r in secret_scan.scan(spark, docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        want = [(m.start(), 0, m.end()) for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.I | re.A) if len(m[2]) >= 8]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert found[i] == sorted(want), t
+
+
+def luhn(digits):
+    return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_pii_base_against_brute_force(spark):
+    rng = random.Random(5)
+    bits = ["a@b.c", "@", ".", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1", "+49 (30) 123-45-67", "--", " ", "(", ")", "0", "12", "9876543210", "x.y+z%w-v@k-l.m.n", "é", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 20))) for _ in range(300)]
+    found = {r.doc_id: [(s[0], s[1], s[2]) for s in r.base] for r in pii.find(spark, docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        want = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+        digits = lambda m: [int(c) for c in m[0] if c.isdigit()]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m)) <= 19 and luhn(digits(m))]
+        want += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m)) <= 15]
+        assert found[i] == sorted(want), t
+
+
 def test_battery_finds_random_tokens(spark):
     rng = random.Random(6)
     alphabet = secret_scan.ENCODINGS["base62"]
