@@ -266,12 +266,12 @@ def test_search_skips_blocks(monkeypatch):
     words = [f"w{i}" for i in range(80)]
     texts = [" ".join(rng.choice(words[20 * (i % 4) : 20 * (i % 4) + 20], 12)) for i in range(400)]
     dense = np.sort(np.unique(bm25._term_rows(bm25.tk.words(*next(bm25.tk.chunks(pa.array([" ".join(words[:6])])))[2:], bm25.tk.NOT_SPACE))[1]))
-    row = bm25._posting_lists(pa.array(range(400)), pa.array(texts, pa.large_string()), dense)
+    row = bm25._posting_lists(pa.array(range(400)), pa.array(texts, pa.large_string()))
     blob = lambda k, kind: np.frombuffer(row.column(k)[0].as_buffer(), dtype=kind)
-    shard = bm25.Shard(row.column(0)[0].values.to_numpy(), blob(1, np.int64), blob(2, np.int64), blob(3, np.int32), blob(4, np.int32).astype(np.int64), blob(5, np.int32), dense, 12.0)
+    shard = bm25.Shard(row.column(0)[0].values.to_numpy(), blob(1, np.int64), blob(2, np.int64), blob(3, np.int32), blob(4, np.int32), blob(5, np.int32), dense, 12.0)
     term = lambda t: np.unique(bm25._term_rows(bm25.tk.words(*next(bm25.tk.chunks(pa.array([t])))[2:], bm25.tk.NOT_SPACE))[1])
     table = pa.table({"query_id": pa.array([0, 1, 2]), "terms": pa.array([[{"term": int(x), "idf": 1.0 + int(x) % 3} for x in term(texts[i])] for i in (0, 1, 2)])})
-    queries, masks, evaluate = bm25.Queries(table, dense), [], bm25.Shard._evaluate
+    queries, masks, evaluate = bm25.Queries(table, dense, np.arange(len(dense))), [], bm25.Shard._evaluate
     monkeypatch.setattr(bm25.Shard, "_evaluate", lambda self, mask, *rest: masks.append(mask.sum()) or evaluate(self, mask, *rest))
     pruned, whole = bm25.Best(3, 3), bm25.Best(3, 400)
     queries.search(shard, pruned)
