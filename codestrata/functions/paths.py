@@ -56,8 +56,14 @@ def is_sensitive(path: Column) -> Column:
     return hit
 
 
+# Forms of remote addresses, and what a repository's name keeps.
+SCHEMES = r"(?i)^(https?://|git://|ssh://)"
+SCP = r"(?i)^[\w.-]+@[\w.-]+:[\w./-]+(?:\.git)?$"
+NOT_NAME = "[^a-zA-Z0-9-_]"
+
+
 def is_remote(url: Column) -> Column:
-    return F.rlike(url, F.lit(r"(?i)^(https?://|git://|ssh://)")) | F.rlike(url, F.lit(r"(?i)^[\w.-]+@[\w.-]+:[\w./-]+(?:\.git)?$"))
+    return F.rlike(url, F.lit(SCHEMES)) | F.rlike(url, F.lit(SCP))
 
 
 def is_local(url: Column) -> Column:
@@ -66,13 +72,19 @@ def is_local(url: Column) -> Column:
     return F.when(yes, True).when(F.rlike(url, F.lit(r"^[\w.-]+@[\w.-]+:")), False).otherwise(F.rlike(url, F.lit(r"[/\\]")))
 
 
+def is_valid_input(url: Column) -> Column:
+    """Not blank, and remote or local by its form."""
+    t = F.trim(F.coalesce(url, F.lit("")))
+    return (t != "") & (is_remote(t) | is_local(t))
+
+
 def input_kind(url: Column) -> Column:
     return F.when(F.endswith(url, F.lit(".zip")), "zip").when(is_remote(url), "remote").otherwise("local")
 
 
 def repo_name(url: Column) -> Column:
     last = F.element_at(F.filter(F.split(F.regexp_replace(url, "/+$", ""), "[/:]"), lambda s: s != ""), -1)
-    return F.regexp_replace(F.regexp_replace(F.coalesce(last, F.lit("repository")), r"(?i)\.git$", ""), "[^a-zA-Z0-9-_]", "-")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(last, F.lit("repository")), r"(?i)\.git$", ""), NOT_NAME, "-")
 
 
 def project_name(path: Column) -> Column:

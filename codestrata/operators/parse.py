@@ -66,13 +66,15 @@ def _fields(struct: str) -> list[str]:
     return [*out, body[at:]]
 
 
-def parse_files(files: DataFrame, spread: int | None = None) -> DataFrame:
-    """repo_id, path, type, facts..., detail, error for every parseable file (repo_id, path, content)."""
-    # both the prune and the type filter run before any text meets Python
-    t = files.filter(~P.is_pruned(F.col("path"))).withColumn("type", P.file_type(F.col("path"))).filter(P.is_parseable(F.col("type")))
+def _parseable(files: DataFrame) -> DataFrame:
+    """Both the prune and the type filter run before any text meets Python."""
+    return files.filter(~P.is_pruned(F.col("path"))).withColumn("type", P.file_type(F.col("path"))).filter(P.is_parseable(F.col("type")))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """repo_id, path, type, facts..., detail, error for every parseable file (repo_id, path, content). Texts stay where their partitions are."""
+    t = _parseable(files)
     other = t.filter(~F.col("type").isin(*NATIVE)).select("repo_id", "path", "type", "content")
-    if spread:
-        other = other.repartition(spread)
     parsed = other.mapInArrow(_parse_batches(dict(registry.PARSERS)), "repo_id string, path string, type string, json string, error string")
     parsed = parsed.select("repo_id", "path", "type", F.from_json("json", schemas.RECORD).alias("facts"), "error")
     native = _native(t.filter(F.col("type").isin(*NATIVE)))
@@ -168,6 +170,39 @@ def fact_table(parsed: DataFrame) -> DataFrame:
 COUNTED = ("imports", "exports", "functions", "classes", "routes", "tables", "views", "indexes", "storedProcedures", "triggers", "databases", "inserts", "updates", "deletes", "selects", "alterTables", "drops", "comments")
 
 
+def _count_batches(parsers: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, ...]] = []
+            repos = []
+            for repo, kind, content in zip(batch.column("repo_id").to_pylist(), batch.column("type").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    record = parsers[kind](content or "") if kind in parsers else {}
+                except Exception:  # one file's failure is that file's error, whatever it is
+                    continue
+                repos.append(repo)
+                rows.append(tuple(len(record.get(k) or ()) for k in COUNTED))
+            columns = zip(*rows) if rows else [()] * len(COUNTED)
+            yield pa.RecordBatch.from_arrays([pa.array(repos, pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["repo_id", *COUNTED])
+
+    return run
+
+
+def fact_counts(files: DataFrame) -> DataFrame:
+    """repo_id and the number of facts of each kind, a row for each file that parses: what the statistics need, without the facts."""
+    t = _parseable(files)
+    other = t.filter(~F.col("type").isin(*NATIVE)).select("repo_id", "type", "content")
+    counted = other.mapInArrow(_count_batches(dict(registry.PARSERS)), "repo_id string, " + ", ".join(f"{k} long" for k in COUNTED))
+    facts = _native(t.filter(F.col("type").isin(*NATIVE)))
+    native = facts.select("repo_id", *[(F.size(F.col("facts")[k]).cast("long") if k in ("imports", "exports") else F.lit(0).cast("long")).alias(k) for k in COUNTED])
+    return counted.unionByName(native)
+
+
+def stats_of_counts(counts: DataFrame) -> DataFrame:
+    """project_stats from fact_counts."""
+    return counts.groupBy("repo_id").agg(F.count("*").alias("files"), *[F.coalesce(F.sum(k), F.lit(0)).alias(f"n_{k}") for k in COUNTED])
+
+
 def project_stats(parsed: DataFrame) -> DataFrame:
     """repo_id, files and the number of facts of each kind, in one aggregate."""
     n = lambda k: F.sum(F.coalesce(F.size(k), F.lit(0)).cast("long"))
@@ -175,11 +210,8 @@ def project_stats(parsed: DataFrame) -> DataFrame:
 
 
 def in_order(parsed: DataFrame) -> DataFrame:
-    """With `ord`: depth-first path order, Python files last."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("repo_id").orderBy(F.col("type") == "python", P.segments(F.col("path")))
-    return parsed.withColumn("file_ord", F.row_number().over(w))
+    """With `file_ord`: depth-first path order, Python files last. It is a sort key of the row itself, so nothing is gathered to number files."""
+    return parsed.withColumn("file_ord", F.struct((F.col("type") == "python").alias("last"), P.segments(F.col("path")).alias("segs")))
 
 
 def is_empty_record() -> Column:

@@ -1,8 +1,9 @@
 """Reports: every section is an ordered aggregate of lines, one string a repository.
 
 Sections read the parsed records once (cache them before rendering several). Lines are
-ordered by (file_ord, ord); a section's text is collected per repository, whose size the
-admission guard bounds.
+ordered by (file_ord, ord). A text is one string a repository, so its lines meet in one task;
+what is analysed by path is within the admission limits, tables of files are as large as
+their largest repository.
 """
 
 from __future__ import annotations
@@ -266,7 +267,8 @@ def markdown_readme(files: DataFrame, parsed: DataFrame, contents: DataFrame | N
     tree = structure.tree_lines(files).groupBy("repo_id").agg(F.array_join(F.transform(drawn, lambda r: r["line"]), "\n").alias("t"))
     tree = tree.select("repo_id", _text("## Project Structure\n\n```\n", P.project_name(F.col("repo_id")), "/\n", F.col("t"), "\n```").alias("text"))
     m = structure.modules(files)
-    module = m.select("repo_id", F.struct("dir").alias("o"), _cells(_text("[", F.col("base"), "](docs/", F.col("module"), ".md)"), F.col("files").cast("string"), P.module_words(F.col("types"), True)))
+    # directories in the order of readers, not of bytes
+    module = m.select("repo_id", F.struct(F.collate("dir", "UNICODE").alias("dir"), F.col("dir").alias("exact")).alias("o"), _cells(_text("[", F.col("base"), "](docs/", F.col("module"), ".md)"), F.col("files").cast("string"), P.module_words(F.col("types"), True)))
     routes = _each(p, "routes").select("repo_id", F.struct("file_ord", "i").alias("o"), _cells(F.col("f.method"), F.col("f.path"), F.col("path")))
     objects = None
     for k, (title, kind, detail) in enumerate((("Table", "tables", lambda f: _text(F.coalesce(F.size(f["columns"]), F.lit(0)).cast("string"), " columns")), ("View", "views", lambda f: F.lit("")), ("Index", "indexes", lambda f: F.concat(F.lit("ON "), f["table"])))):

@@ -73,10 +73,11 @@ def size_stats(files: DataFrame) -> DataFrame:
 
 
 def modules(files: DataFrame) -> DataFrame:
-    """repo_id, dir, base, module, files, types: directories but the root, a parent's name before bases that recur, a number if that recurs too."""
+    """repo_id, dir, base, module, files, types: directories but the root, a parent's name (the project's at the top) before bases that recur, a number if that recurs too."""
     t = typed(pruned(files)).withColumn("dir", P.dirname(F.col("path"))).filter("dir <> '.'")
     d = t.groupBy("repo_id", "dir").agg(F.count("*").alias("files"), F.sort_array(F.collect_set("type")).alias("types"))
-    base, parent = P.basename(F.col("dir")), P.basename(P.dirname(F.col("dir")))
+    base = P.basename(F.col("dir"))
+    parent = F.when(F.contains("dir", F.lit("/")), P.basename(P.dirname(F.col("dir")))).otherwise(P.project_name(F.col("repo_id")))
     d = d.withColumn("base", base).withColumn("same", F.count("*").over(Window.partitionBy("repo_id", "base")))
     d = d.withColumn("label", F.when(F.col("same") > 1, F.concat(parent, F.lit("-"), F.col("base"))).otherwise(F.col("base")))
     n = F.row_number().over(Window.partitionBy("repo_id", "label").orderBy("dir"))

@@ -1,12 +1,14 @@
-"""SQL files as data: a reader of DDL and DML statements with a pattern fallback.
+"""SQL files as data: a reader of DDL and DML statements.
 
-Statements are cut at semicolons (or GO lines) outside strings and comments. Each is read
-by the words it begins with; a statement in T-SQL style whose shape is not recognised
-still yields names through patterns.
+Statements are cut at semicolons and GO lines outside strings and comments, and, for scripts
+without semicolons, before a line that begins another statement. Each is read by the words
+it begins with. What stands before those words (WITH parts, IF conditions, BEGIN TRAN, SET
+options) is passed over: the statement begins at the first known words outside parentheses.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from codestrata import rules
@@ -36,7 +38,8 @@ def batches(sql: str) -> list[str]:
 
 
 def comments(sql: str) -> list[dict]:
-    at = lambda i: sql.count("\n", 0, i) + 1
+    ends = [m.start() for m in re.finditer("\n", sql)]
+    at = lambda i: bisect.bisect_left(ends, i) + 1
     one = [{"type": "single-line", "content": m[1].strip(), "line": at(m.start())} for m in re.finditer(r"--[ \t]*([^\n]*)", sql) if m[1].strip()]
     many = [{"type": "multi-line", "content": m[1].strip(), "line": at(m.start())} for m in re.finditer(r"/\*([\s\S]*?)\*/", sql)]
     return one + many
@@ -46,6 +49,16 @@ def _names(text: str) -> list[str]:
     return [clean(re.match(rf"\s*({QID})", p)[1]) for p in text.split(",") if re.match(rf"\s*({QID})", p)]
 
 
+_OBJECT = r"(?:OR\s+(?:REPLACE|ALTER)\s+)?(?:DEFINER\s*=\s*\S+\s+)?(?:(?:GLOBAL|LOCAL|TEMP(?:ORARY)?|MATERIALIZED|UNIQUE|FULLTEXT|SPATIAL|CLUSTERED|NONCLUSTERED)\s+)*(?:TABLE|VIEW|INDEX|FUNCTION|PROC(?:EDURE)?|TRIGGER|DATABASE|SCHEMA)"
+#: Words that begin a statement with facts.
+_START = re.compile(rf"(?i)(?<![\w.@#$])(?:CREATE\s+{_OBJECT}|INSERT\s+(?:IGNORE\s+)?INTO|UPDATE\s+{QID}(?:\s+(?:AS\s+)?\w+)?\s+SET|DELETE\s+FROM|ALTER\s+TABLE|DROP\s+(?:TABLE|VIEW|INDEX|PROCEDURE|FUNCTION|TRIGGER|DATABASE|SCHEMA)|SELECT)\b")
+#: Line starts that end a statement without a semicolon.
+_LINE = re.compile(r"(?im)^[ \t]*(CREATE|ALTER\s+TABLE|DROP\s+(?:TABLE|VIEW|PROCEDURE|FUNCTION|TRIGGER|DATABASE|SCHEMA)|INSERT|UPDATE|DELETE|SELECT|WITH|IF|ELSE|SET|USE|EXEC(?:UTE)?|DECLARE|PRINT|BEGIN|END|COMMIT|ROLLBACK|MERGE|TRUNCATE)\b")
+_ROUTINE = re.compile(r"(?i)\s*CREATE\b[^;]*?\b(FUNCTION|PROCEDURE|PROC|TRIGGER)\b")
+#: A query goes on after these.
+_OPEN = re.compile(r"(?i)(?:\b(?:UNION|ALL|EXCEPT|INTERSECT|AS|DISTINCT|EXPLAIN|RETURNING)|[(,=])\s*$")
+
+
 class Reader:
     def __init__(self, sql: str):
         self.s = Source(sql, "sql")
@@ -54,29 +67,74 @@ class Reader:
 
     def statements(self):
         """(start, end): routine and trigger bodies between BEGIN and END stay in one statement."""
-        start, depth = 0, 0
+        start, depth, routine = 0, 0, self._routine_from(0)
         for m in re.finditer(r"(?i)\bBEGIN\b(?!\s+TRAN)|\bCASE\b|\bEND\b(?!\s+(?:IF|LOOP|WHILE|REPEAT))|;|\$\$|(?m:^\s*GO\s*$)", self.code):
             word = m[0].strip().upper()
-            routine = re.match(r"(?i)\s*CREATE\b[^;]*?\b(FUNCTION|PROCEDURE|TRIGGER)\b", self.code[start : m.end()]) or depth
             if word == "$$":
                 depth += 100 if depth < 100 else -100
             elif word in ("BEGIN", "CASE"):
-                depth += bool(routine)
+                depth += bool(depth or m.end() >= routine)
             elif word == "END":
                 depth -= bool(depth % 100)
             elif depth == 0 or word == "GO":
                 yield start, m.start()
-                start, depth = m.end(), 0
+                start, depth, routine = m.end(), 0, self._routine_from(m.end())
         yield start, len(self.code)
 
+    def _routine_from(self, start: int) -> float:
+        """Where the statement that starts here says that it is a routine or trigger."""
+        m = _ROUTINE.match(self.code, start)
+        return m.end() if m else float("inf")
+
+    def pieces(self, a: int, b: int):
+        """A statement cut before lines that begin another one, outside parentheses; routines are not cut."""
+        if self._routine_from(a) <= b:
+            yield a, b
+            return
+        start, depth, at = a, 0, a
+        for m in _LINE.finditer(self.code, a, b):
+            for c in re.finditer(r"[()]", self.code[at : m.start()]):
+                depth = max(0, depth + (1 if c[0] == "(" else -1))
+            at = m.start()
+            if depth or not self.code[start:at].strip():
+                continue
+            word, tail = m[1].split()[0].upper(), self.code[max(start, at - 40) : at]
+            first = _START.search(self.code, start, at)
+            head = first[0].split()[0].upper() if first else ""
+            goes_on = bool(_OPEN.search(tail))
+            if word == "SET":
+                goes_on = goes_on or head == "" and re.match(r"(?i)\s*UPDATE\b", self.code[start:at]) is not None
+            elif word == "SELECT":
+                values = head == "INSERT" and re.search(r"(?i)\bVALUES\b", self.code[start:at])
+                view = head == "CREATE" and re.search(r"(?i)\bVIEW\b", first[0])
+                goes_on = goes_on or bool(view) or (head == "INSERT" and not values) or re.match(r"(?i)\s*WITH\b", self.code[start:at]) is not None and not head
+            elif word == "WITH":
+                goes_on = goes_on or head in ("CREATE", "SELECT")
+            elif word in ("INSERT", "UPDATE", "DELETE"):
+                goes_on = goes_on or re.match(r"(?i)\s*WITH\b", self.code[start:at]) is not None and not head
+            if not goes_on:
+                yield start, at
+                start = at
+        yield start, b
+
     def read(self) -> dict[str, list]:
         for a, b in self.statements():
-            code = self.code[a:b]
-            lead = len(code) - len(code.lstrip())
-            if code.strip():
-                self.statement(a + lead, b)
+            for x, y in self.pieces(a, b) if self.code[a:b].strip() else ():
+                at = self.begin(x, y)
+                if at is not None:
+                    self.statement(at, len(self.code[:y].rstrip()) if self.code[y - 1 : y].isspace() else y)
         return self.out
 
+    def begin(self, a: int, b: int) -> int | None:
+        """The first known words outside parentheses."""
+        i = a
+        while m := _START.search(self.code, i, b):
+            opened = self.code.find("(", i, m.start())
+            if opened < 0:
+                return m.start()
+            i = self.s.close(opened) + 1
+        return None
+
     def _match(self, pattern: str, a: int, b: int):
         return re.compile(pattern, re.I).match(self.code, a, b)
 
@@ -192,11 +250,11 @@ class Reader:
             pieces = self.s.split(m.end(), self.s.close(m.start(1)))
         else:
             stop = re.compile(r"\b(AS|BEGIN|RETURNS|LANGUAGE)\b", re.I).search(self.code, a, b)
-            pieces = self.s.split(a, stop.start() if stop else min(b, a + 200))
+            pieces = self.s.split(a, stop.start() if stop else b)
         out = []
         for x, y in pieces:
             p = re.match(rf"(?i)\s*(?:(INOUT|IN|OUT)\s+)?({ID})\s+(\w+(?:\s*\([^)]*\))?)(?:.*?\b(OUTPUT|OUT)\b)?", self.code[x:y], re.S)
-            if p:
+            if p and p[2].strip("`[]\"").upper() not in rules.NO_PARAMETERS:
                 out.append({"mode": (p[1] or ("OUT" if p[4] else "IN")).upper(), "name": p[2].strip("`[]\""), "type": p[3]})
         return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from codestrata import rules
 from codestrata.functions import markup as M
 from codestrata.functions import mdpost
 from codestrata.functions import paths as P
+from codestrata.functions import sqlfun
 from codestrata.operators import parse, report, structure
+from codestrata.plans import repositories
 from codestrata.plans.templates import CASES
 from codestrata.session import table
 
@@ -47,7 +51,7 @@ def html_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of a site: pages parsed as markup, facts counted in one aggregate."""
-    return parse.project_stats(parse.parse_files(html_files(spark, sf_dir)))
+    return parse.stats_of_counts(parse.fact_counts(html_files(spark, sf_dir)))
 
 
 _TITLE = "regexp_matches(html, '(?i)<title>[^<]*</title>')"
@@ -157,7 +161,7 @@ _MARKDOWN = """SELECT doc_id, 'T' || doc_id || ' — note' || chr(10) || 'See li
 
 
 def _case_parsed(spark, sf, name):
-    return parse.in_order(parse.records(parse.parse_files(CASES[name].files(spark, sf), spread=spark.sparkContext.defaultParallelism)))
+    return parse.in_order(parse.records(parse.parse_files(CASES[name].files(spark, sf))))
 
 
 def _route_lines(spark, sf):
@@ -186,7 +190,7 @@ def _stats(spark, sf):
     for name in ("python", "javascript", "sql_ddl", "sql_dml", "stylesheet"):
         f = CASES[name].files(spark, sf)
         files = f if files is None else files.unionByName(f)
-    return parse.project_stats(parse.records(parse.parse_files(files, spread=spark.sparkContext.defaultParallelism)))
+    return parse.stats_of_counts(parse.fact_counts(files))
 
 
 def _stats_sql() -> str:
@@ -213,13 +217,34 @@ def _errors(spark, sf):
 
 def _module_docs(spark, sf):
     f = CASES["stylesheet"].files(spark, sf).withColumn("path", F.concat(F.lit("m"), F.regexp_replace("path", r"^css/p(\d*)(\d)\.css$", "$2/p$1$2.css")))
-    d = report.module_docs(f, parse.parse_files(f, spread=spark.sparkContext.defaultParallelism))
+    d = report.module_docs(f, parse.parse_files(f))
     return d.select("name", F.size(F.split("content", "\n")).cast("long").alias("n_lines"), F.startswith("content", F.concat(F.lit("# Module: "), F.col("name"))).alias("headed"))
 
 
 _MODULE_DOCS = """SELECT 'm' || p_partkey % 10 AS name, CAST(5 + (4 + count(*)) + 1 + (4 + 2 * count(*)) + 1 + (4 + count(*)) AS BIGINT) AS n_lines, true AS headed FROM part GROUP BY ALL"""
 
 
+_INPUTS = ("https://h/u/r{}", "git@h:u/r{}", "./r{}", " ", "", "r{}", "C:\\r{}", "ssh://h/r{}", "a/b{}", "http:/h{}", "~/r{}")
+
+
+def _valid_inputs(spark, sf):
+    i = F.col("page_id").cast("string")
+    u = F.element_at(F.array(*[F.replace(F.lit(t), F.lit("{}"), i) for t in _INPUTS]), (F.col("page_id") % len(_INPUTS) + 1).cast("int"))
+    home = F.replace(P.expand_home(u), F.lit(os.path.expanduser("~")), F.lit("HOME"))
+    return table(spark, sf, "pages").select("page_id", P.is_valid_input(u).alias("valid"), F.when(F.startswith(u, F.lit("~")), home).otherwise(u).alias("path"))
+
+
+_VALID_INPUTS = f"""SELECT page_id, (page_id % {len(_INPUTS)}) NOT IN (3, 4, 5) AS valid, replace(replace((['{"', '".join(_INPUTS)}'])[page_id % {len(_INPUTS)} + 1], '{{}}', CAST(page_id AS VARCHAR)), '~', 'HOME') AS path FROM pages"""
+
+
+def _sql_functions(spark, sf):
+    """The parser as a function and as a table function of SQL text."""
+    sqlfun.register(spark)
+    table(spark, sf, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism).createOrReplaceTempView("source_orders")
+    text = "concat('import m', o_orderkey, '\\n\\ndef f', o_orderkey, '(): pass\\n')"
+    return spark.sql(f"SELECT o_orderkey, f.kind, f.name FROM source_orders, LATERAL source_facts('python', {text}) f WHERE f.kind = 'imports' OR f.kind = 'functions' AND get_json_object(parse_source('python', {text}), '$.functions[0].name') = f.name")
+
+
 def queries():
     found = {f"facts_{name}": case.run for name, case in CASES.items()}
     return found | {
@@ -246,7 +271,9 @@ def queries():
         "project_stats": _stats,
         "parse_errors": _errors,
         "module_docs": _module_docs,
-    }
+        "valid_inputs": _valid_inputs,
+        "sql_functions": _sql_functions,
+    } | repositories.queries()
 
 
 def oracle_sql():
@@ -286,4 +313,6 @@ def oracle_sql():
         "project_stats": _stats_sql(),
         "parse_errors": "SELECT 'b' || s_suppkey || CASE s_suppkey % 3 WHEN 0 THEN '.js' ELSE '.csproj' END AS path, CASE s_suppkey % 3 WHEN 0 THEN 'javascript' ELSE 'csproj' END AS type FROM supplier WHERE s_suppkey % 3 <> 2",
         "module_docs": _MODULE_DOCS,
-    }
+        "valid_inputs": _VALID_INPUTS,
+        "sql_functions": "SELECT o_orderkey, u.kind AS kind, u.name AS name FROM (SELECT o_orderkey, unnest([{'kind': 'functions', 'name': 'f' || o_orderkey}, {'kind': 'imports', 'name': 'm' || o_orderkey}]) AS u FROM orders)",
+    } | repositories.oracle_sql()

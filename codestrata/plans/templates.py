@@ -32,11 +32,13 @@ class Case:
         self.source, self.path, self.text, self.expected = source, path, text, expected
 
     def files(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = table(spark, sf_dir, self.source)
+        holes = sorted({x for text in (self.path, self.text) for x in _HOLE.findall(text)})
+        # the few columns a text is made of are spread, not texts
+        t = table(spark, sf_dir, self.source).select(*holes).repartition(spark.sparkContext.defaultParallelism)
         return t.select(F.lit("r").alias("repo_id"), spark_text(self.path).alias("path"), spark_text(self.text).alias("content"))
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        parsed = parse.parse_files(self.files(spark, sf_dir), spread=spark.sparkContext.defaultParallelism)
+        parsed = parse.parse_files(self.files(spark, sf_dir))
         return parse.fact_table(parse.records(parsed)).select("file_path", "kind", "name", "extra")
 
     def sql(self) -> str:
@@ -52,7 +54,7 @@ t = f"<<{T}>>"
 
 CASES: dict[str, Case] = {
     "python": Case("orders", f"src/m{k}.py", f"import os.path as p{k}, sys\nfrom lib{k} import x, y as z\n\n@app.get('/o/{k}')\nasync def f_{k}(a, b):\n    return a\n\nclass C{k}(B{k}):\n    @app.post('/c/{k}')\n    def m(self, q=1): pass\n    async def n(self): pass\n\n_hidden = 1\nQ{k} = <<o_custkey>>\ndef _g(): pass\n", [
-        ("import", "os.path", f"p{k}"), ("import", "sys", ""), ("import", f"lib{k}", ""), ("export", f"f_{k}", "function"), ("export", f"C{k}", "class"), ("export", f"Q{k}", "variable"),
+        ("import", "os.path", f"p{k}"), ("import", "sys", ""), ("import", f"lib{k}", ""), ("export", f"f_{k}", "module"), ("export", f"C{k}", "module"), ("export", f"Q{k}", "module"),
         ("function", f"f_{k}", "a,b"), ("function", "_g", ""), ("class", f"C{k}", f"B{k}"), ("method", "m", f"C{k}:self,q"), ("method", "n", f"C{k}:self"), ("route", f"/o/{k}", "GET"), ("route", f"/c/{k}", "POST")]),
     "javascript": Case("orders", f"src/m{k}.js", f"import d{k}, {{ a as b }} from \"pkg{k}\";\nconst p = require('./r{k}');\n// import x from 'no'\nexport const f{k} = async (x, {{ y }}) => `t${{x}}`;\nexport function g(u, v) {{ return \"function no() {{\"; }}\nexport class A{k} extends B {{\n  m(q) {{ return 1; }}\n  static async n() {{}}\n}}\nconst h = function (w) {{}};\nrouter.get(\"/v/{k}\", h).post('/w', h);\nexport {{ h as hh }};\nmodule.exports = {{ one, two: 2 }};\n", [
         ("import", f"pkg{k}", ""), ("import", f"./r{k}", ""), ("export", f"f{k}", "const"), ("export", "g", "function"), ("export", f"A{k}", "class"), ("export", "hh", "named"), ("export", "default", "cjs"), ("export", "one", "cjs"), ("export", "two", "cjs"),
@@ -101,5 +103,14 @@ CASES: dict[str, Case] = {
         ("function", f"f{c}", "x"), ("function", f"p{c}", "a,b"), ("procedure", f"p{c}", "IN a INT,OUT b VARCHAR(3)"), ("routine", f"f{c}", "IN x INT -> INT"), ("routine", f"p{c}", "IN a INT,OUT b VARCHAR(3)"), ("trigger", f"tr{c}", "BEFORE INSERT t")]),
     "sql_batches": Case("customer", f"db/g{c}.sql", f"CREATE TABLE [dbo].[x{c}] ([a] VARCHAR(MAX), b INT IDENTITY(1,1) NOT NULL)\nGO\nPRINT 'done'\nGO\nCREATE TABLE y{c} (q INT)\ngo\n", [
         ("class", f"x{c}", ""), ("class", f"y{c}", ""), ("table", f"x{c}", "a VARCHAR,b INT not null"), ("table", f"y{c}", "q INT")]),
+    "sql_fallback": Case("customer", f"db/f{c}.sql", f"SET NOCOUNT ON\nBEGIN TRAN\nIF OBJECT_ID('t{c}') IS NULL CREATE TABLE [t{c}] (a INT)\nINSERT INTO u{c} (b)\nSELECT q FROM w WHERE x IN (SELECT 1 FROM n)\nUPDATE u{c}\nSET b = 1\nWHERE b = {c}\nIF NOT EXISTS (SELECT 1 FROM n) INSERT INTO n (a) VALUES ({c})\nCOMMIT\nGO\nWITH z AS (SELECT 1 a), y AS (SELECT 2 b) SELECT a FROM z JOIN y ON 1 = 1;\nEXEC p{c} 'INSERT INTO no'\nDROP TABLE IF EXISTS old{c}\nCREATE VIEW v{c} AS\nSELECT a FROM t{c}\nGO\nCREATE PROCEDURE q{c} @a INT, @b VARCHAR(3) OUTPUT\nAS\nBEGIN\n  INSERT INTO inner{c} (a) VALUES (1);\nEND\nGO\n", [
+        ("class", f"t{c}", ""), ("table", f"t{c}", "a INT"), ("insert", f"u{c}", "b"), ("update", f"u{c}", "b=1"), ("insert", "n", "a"), ("select", "z", "a"), ("drop", f"old{c}", "table"), ("view", f"v{c}", f"SELECT a FROM t{c}"),
+        ("function", f"q{c}", "@a,@b"), ("procedure", f"q{c}", "IN @a INT,OUT @b VARCHAR(3)"), ("routine", f"q{c}", "IN @a INT,OUT @b VARCHAR(3)")]),
+    "python_awkward": Case("orders", f"lib/a{k}.py", f"\"\"\"def no{k}(): pass\"\"\"\ntry:\n    import fast{k}\nexcept ImportError:\n    from . import slow as s{k}\n\n@cache(1)\n@app.route('/r/{k}', methods=['GET'])\ndef outer_{k}(a, /, b, *c, d=1, **e):\n    import inner{k}\n    def nested(): pass\n    class Local: pass\n\nclass _P{k}(a.B, metaclass=M):\n    x = 1\n    class In:\n        def no(self): pass\n    if x:\n        def also_no(self): pass\n    @bp.get()\n    def m(self): pass\n\n__all__ = ['q']\nurlpatterns = [path('u/{k}', v), re_path(r'^x$', v), other('no')]\nA{k} = B = 2\n", [
+        ("import", f"fast{k}", ""), ("import", "", ""), ("import", f"inner{k}", ""), ("export", "__all__", "module"), ("export", f"outer_{k}", "module"), ("export", "urlpatterns", "module"), ("export", f"A{k}", "module"), ("export", "B", "module"),
+        ("function", f"outer_{k}", "b"), ("class", f"_P{k}", "a.B"), ("method", "m", f"_P{k}:self"), ("route", f"/r/{k}", "ROUTE"), ("route", "/", "GET"), ("route", f"u/{k}", "ANY"), ("route", "^x$", "ANY")]),
+    "javascript_awkward": Case("orders", f"src/w{k}.js", f"/* function no{k}() {{}} */\nconst s = \"class No{k} {{}}\", t = `export ${{a}} function no() {{}}`; // require('no')\nexport * from './all{k}';\nexport {{ default as d{k}, x }} from \"./y{k}\";\nclass A{k} {{ constructor(a, {{ b }}, ...c) {{}} async *gen() {{ if (a) {{ go(); }} }} static s() {{}} }}\nrouter.get('/a/{k}', (q, r) => r.get(x)).post(\"/b\", h);\nexports.e{k} = function (z) {{}};\n", [
+        ("export", "*", "re-export-all"), ("export", f"d{k}", "re-export"), ("export", "x", "re-export"), ("export", f"e{k}", "cjs"), ("class", f"A{k}", ""), ("function", "constructor", "a,null,null"), ("function", "gen", ""), ("function", "s", ""),
+        ("method", "constructor", f"A{k}:a,null,null"), ("method", "gen", f"A{k}:"), ("method", "s", f"A{k}:"), ("route", f"/a/{k}", "GET"), ("route", "/b", "POST")]),
     "stylesheet": Case("part", f"css/p{t}.css", f"@import \"b<<p_size>>.css\";\n.p-{t} {{ --v-<<p_size>>: 1; }}\n.p-{t} {{ color: red }}\n@keyframes k{t} {{ }}\n", [("import", "b<<p_size>>.css", ""), ("export", f"p-{t}", "class"), ("export", f"k{t}", "class"), ("export", "v-<<p_size>>", "css-variable")]),
 }

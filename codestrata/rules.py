@@ -86,4 +86,8 @@ DIALECTS = (
     (r"\bGO\b", True, "transactsql"), (r"`.*?`", False, "mysql"), (r"\bAUTO_INCREMENT\b", True, "mysql"), (r"\bSERIAL\b", True, "postgresql"),
     (r"\b::\b", False, "postgresql"), (r"\bPLPGSQL\b", True, "postgresql"), (r"\bDATABASE\b", True, "mysql"),
 )
+# Fixed value: output text.
 EMPTY_NOTE = "Pendiente de implementar"
+
+# Words that are no parameter names of an SQL routine.
+NO_PARAMETERS = frozenset("DECLARE SET SELECT INSERT UPDATE DELETE FROM WHERE AS BEGIN END RETURN RETURNS TABLE IF ELSE WHILE CURSOR FETCH COMMIT ROLLBACK PRINT RAISERROR THROW TRY CATCH".split())

@@ -46,20 +46,40 @@ def _decode(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
+def admitted(sizes: list[tuple[str, int]], of: str) -> None:
+    """Raises where names and sizes are over the limits; no text has been read by then."""
+    total = sum(n for _, n in sizes)
+    if total > rules.MAX_TOTAL_BYTES:
+        raise InputError(f"{of}: total of {total / 1048576:.2f} MB is over the limit")
+    if len(sizes) > rules.MAX_FILES:
+        raise InputError(f"{of}: {len(sizes)} files are over the limit")
+
+
+def _text_of(path: str) -> str:
+    with open(path, "rb") as f:
+        return _decode(f.read())
+
+
+def from_driver(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
+    """A directory only the driver sees: within the limits, texts are sent with the plan."""
+    names = listing(root)
+    admitted(names, root)
+    rid = repo_id or os.path.abspath(root)
+    return spark.createDataFrame([(rid, p, n, _text_of(os.path.join(root, p))) for p, n in names], FILES)
+
+
 def from_directory(spark: SparkSession, root: str, repo_id: str | None = None, files_per_task: int = 200) -> DataFrame:
-    """A directory on a file system that all workers see. Names are listed on the driver (bounded by the admission guard), texts are read by the tasks."""
+    """A directory on a file system that all workers see. Names are listed on the driver and judged by the limits, then texts are read by the tasks."""
     if not os.path.isdir(root):
         raise InputError(f"no directory: {root}")
     names = listing(root)
+    admitted(names, root)
     base = os.path.abspath(root)
     rid = repo_id or base
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for p in b.column("path").to_pylist():
-                with open(os.path.join(base, p), "rb") as f:
-                    texts.append(_decode(f.read()))
+            texts = [_text_of(os.path.join(base, p)) for p in b.column("path").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([rid] * len(texts)), b.column("path"), b.column("size"), pa.array(texts, pa.string())], names=["repo_id", "path", "size", "content"])
 
     df = spark.createDataFrame(names, "path string, size bigint")
@@ -76,19 +96,31 @@ def from_folders(spark: SparkSession, path: str, depth: int) -> DataFrame:
     return raw.select(rid.alias("repo_id"), inner.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content")).filter(~P.is_pruned(F.col("path")))
 
 
+def _members(z: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """Files of an archive that are read, in its order."""
+    kept = []
+    for info in z.infolist():
+        parts = info.filename.split("/")
+        if not (info.is_dir() or ".." in parts or any(x in rules.IGNORED for x in parts)):
+            kept.append(info)
+    return kept
+
+
 def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for rid, data in zip(b.column("repo_id").to_pylist(), b.column("content").to_pylist()):
             with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for info in z.infolist():
-                    parts = info.filename.split("/")
-                    if info.is_dir() or ".." in parts or any(x in rules.IGNORED for x in parts):
-                        continue
-                    yield pa.RecordBatch.from_arrays([pa.array([rid]), pa.array([info.filename]), pa.array([info.file_size]), pa.array([_decode(z.read(info))])], names=["repo_id", "path", "size", "content"])
+                members = _members(z)
+                # sizes as the directory states them; read() stops at them, so a bomb is not inflated
+                admitted([(m.filename, m.file_size) for m in members], rid)
+                for info in members:
+                    with z.open(info) as f:
+                        text = _decode(f.read(info.file_size))
+                    yield pa.RecordBatch.from_arrays([pa.array([rid]), pa.array([info.filename]), pa.array([info.file_size]), pa.array([text])], names=["repo_id", "path", "size", "content"])
 
 
 def from_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Zip archives (a file, folder or glob Spark can read); each is a repository named after its file."""
+    """Zip archives (a file, folder or glob Spark can read); each is a repository named after its file. An archive over the limits is an error before it is inflated."""
     try:
         raw = spark.read.format("binaryFile").load(path)
     except Exception as e:
