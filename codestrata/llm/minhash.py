@@ -13,7 +13,7 @@
    text). Members meet the pivot first: the union sketch estimates Jaccard and filters,
    exact Jaccard on full sets confirms. Lists of one pivot are united into a group, and
    members that are still in different components are compared exactly in blocks of
-   ``BLOCK`` members; blocks of one component meet only others. A block pair gives back its
+   about ``BLOCK`` members, dealt by hash; blocks of one component meet only others. A block pair gives back its
    links, not its pairs.
 5. Components: smallest label reachable, by rounds over written tables.
 
@@ -125,11 +125,12 @@ def near_links(spark: SparkSession, docs: DataFrame, width: int, threshold: floa
     of_rep = Window.partitionBy("rep", "n")
     shared = shared.withColumn("alone", kept_size - F.count("*").over(of_rep)).withColumn("place", F.row_number().over(of_rep.orderBy("size", "key")))
     shared = shared.withColumn("degree", F.sum("size").over(of_rep)).filter(F.col("place") + F.col("alone") <= kept_size - need + 1)
-    order = Window.partitionBy("key").orderBy(F.desc("degree"), "rep", "n")
-    whole = Window.partitionBy("key")
-    listed = shared.select("key", "rep", "n", F.row_number().over(order).alias("rank"), F.count("*").over(whole).alias("size"), F.first("rep").over(order).alias("pivot"), F.first("n").over(order).alias("pivot_n"))
-    listed = written(spark, listed.filter("size > 1"), "lists")
-    groups = written(spark, listed.groupBy("pivot", "rep").agg(F.max("n").alias("n"), F.max("pivot_n").alias("pn")), "groups")
+    kept = written(spark, shared.select("key", "rep", "n", "degree"), "lists")
+    # the first by degree, as an aggregate: a value's list never meets in one task
+    first = F.min(F.struct((-F.col("degree")).alias("d"), F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"))).alias("first")
+    pivots = kept.groupBy("key").agg(first, F.count("*").alias("size")).filter("size > 1").select("key", "first.pivot", "first.pivot_n")
+    groups = kept.join(pivots, "key").groupBy("pivot", "rep").agg(F.max("n").alias("n"), F.max("pivot_n").alias("pn"))
+    groups = written(spark, groups, "groups")
     sets = _full_sets(spark, docs, groups.select(F.col("rep").alias("doc_id")).distinct(), width)
 
     near = F.least("n", "pn") >= F.lit(threshold) * F.greatest("n", "pn")
@@ -155,15 +156,17 @@ def _across(groups: DataFrame, labels: DataFrame | None, sets: DataFrame, thresh
         of = lambda c, name: labels.select(F.col("rep").alias(c), F.col("label").alias(name))
         g = groups.join(of("rep", "label"), "rep", "left").join(of("pivot", "core"), "pivot", "left")
         g = g.withColumn("label", F.coalesce("label", "rep")).withColumn("core", F.coalesce("core", "pivot"))
-    whole = Window.partitionBy("pivot")
     inside = F.col("label") == F.col("core")
-    g = g.withColumn("size", F.count("*").over(whole)).withColumn("cores", F.sum(inside.cast("int")).over(whole))
+    sizes = g.groupBy("pivot").agg(F.count("*").alias("size"), F.sum(inside.cast("int")).alias("cores"))
     # the pivot has met all members; two that are left make no pair
-    g = g.filter((F.col("size") > 2) & (F.col("cores") < F.col("size")))
-    g = g.withColumn("blk", F.floor((F.row_number().over(whole.orderBy(inside.desc(), "n", "rep")) - 1) / BLOCK).cast("int"))
-    pure = F.floor(F.col("cores") / BLOCK).cast("int")
-    last = F.floor((F.col("size") - 1) / BLOCK).cast("int")
-    partners = F.filter(F.sequence(F.lit(0), last), lambda j: ~((F.col("blk") < pure) & (j < pure)))
+    sizes = sizes.filter((F.col("size") > 2) & (F.col("cores") < F.col("size")))
+    # members are dealt to blocks by hash, those of the pivot's component apart: a block of one component meets only others
+    pure, rest = F.ceil(F.col("cores") / BLOCK).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("cores")) / BLOCK)).cast("int")
+    g = g.join(sizes.select("pivot", pure.alias("pure"), rest.alias("rest")), "pivot")
+    dealt = F.xxhash64(F.lit(23), "rep")
+    blk = F.when(inside, F.pmod(dealt, F.greatest(F.lit(1), F.col("pure")))).otherwise(F.col("pure") + F.pmod(dealt, F.col("rest"))).cast("int")
+    g = g.withColumn("blk", blk)
+    partners = F.filter(F.sequence(F.lit(0), F.col("pure") + F.col("rest") - 1), lambda j: ~((F.col("blk") < F.col("pure")) & (j < F.col("pure"))))
     each = g.withColumn("j", F.explode(partners)).select("pivot", F.least("blk", "j").alias("lo"), F.greatest("blk", "j").alias("hi"), "blk", "label", "rep")
     rows = each.join(sets, "rep").select("pivot", "lo", "hi", "blk", "label", "rep", "values")
     return rows.groupBy("pivot", "lo", "hi").applyInArrow(_block_pair(threshold, k), "a long, b long")
