@@ -158,8 +158,24 @@ def parse_go(text: str) -> dict:
     return out
 
 
+def _without_macros(s: Source) -> None:
+    """The bodies of macro definitions are patterns, not items: blank in the code."""
+    code, at, out = s.code, 0, []
+    for m in re.finditer(r"\bmacro_rules!\s*\w+\s*([({\[])", code):
+        if m.start() < at:
+            continue
+        end = s.close(m.start(1))
+        out += [code[at : m.end()], re.sub(r"[^\n]", " ", code[m.end() : end])]
+        at = end
+    if out:
+        s.code = "".join(out) + code[at:]
+        for name in ("_pairs", "blocks"):
+            s.__dict__.pop(name, None)
+
+
 def parse_rust(text: str) -> dict:
     s, out = Source(text, "rust"), _record()
+    _without_macros(s)
     for m in s.find(r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);"):
         out["imports"].append({"source": " ".join(s.raw(m, 1).split()), "alias": None, "line": s.line(m.start(1))})
     types: dict[str, dict] = {}
@@ -201,7 +217,7 @@ def parse_c(text: str) -> dict:
     by_name: dict[str, dict] = {}
     for m in s.find(rf"(?<!\w)(typedef\s+)?(class|struct|union|enum)\s+(?:class\s+)?({W})?\s*(?:final\s*)?(?::\s*([^{{;()]+))?\s*(\{{)"):
         end = s.close(m.start(5))
-        name = m[3]
+        name, alias = m[3], None
         if m[1]:
             alias = re.compile(rf"\}}\s*\*?\s*({W})").match(s.code, end)
             if alias:
@@ -214,7 +230,8 @@ def parse_c(text: str) -> dict:
         out["classes"].append(c)
         by_name.setdefault(name, c)
         spans.append((m.start(5), end, c))
-        out["exports"].append({"name": name, "kind": m[2], "line": c["line"]})
+        if alias is None or alias[1] != name:  # an alias of the same name is exported once
+            out["exports"].append({"name": name, "kind": m[2], "line": c["line"]})
         if m[2] != "enum":
             inner = [(x, y) for x, y in s.blocks if m.start(5) < x and y < end]
             for f in s.find(rf"[\w>*&\]]\s*[*&]*\s*({W})\s*(?:\[[^\]]*\])?\s*(?:=[^;]*)?;", 0, m.start(5) + 1, end):

@@ -54,6 +54,7 @@ _OBJECT = r"(?:OR\s+(?:REPLACE|ALTER)\s+)?(?:DEFINER\s*=\s*\S+\s+)?(?:(?:GLOBAL|
 _START = re.compile(rf"(?i)(?<![\w.@#$])(?:CREATE\s+{_OBJECT}|INSERT\s+(?:IGNORE\s+)?INTO|UPDATE\s+{QID}(?:\s+(?:AS\s+)?\w+)?\s+SET|DELETE\s+FROM|ALTER\s+TABLE|DROP\s+(?:TABLE|VIEW|INDEX|PROCEDURE|FUNCTION|TRIGGER|DATABASE|SCHEMA)|SELECT)\b")
 #: Line starts that end a statement without a semicolon.
 _LINE = re.compile(r"(?im)^[ \t]*(CREATE|ALTER\s+TABLE|DROP\s+(?:TABLE|VIEW|PROCEDURE|FUNCTION|TRIGGER|DATABASE|SCHEMA)|INSERT|UPDATE|DELETE|SELECT|WITH|IF|ELSE|SET|USE|EXEC(?:UTE)?|DECLARE|PRINT|BEGIN|END|COMMIT|ROLLBACK|MERGE|TRUNCATE)\b")
+_CTE = re.compile(rf"(?i)WITH\s+(?:RECURSIVE\s+)?{ID}\s*(?:\([^)]*\)\s*)?AS\s*\(")
 _ROUTINE = re.compile(r"(?i)\s*CREATE\b[^;]*?\b(FUNCTION|PROCEDURE|PROC|TRIGGER)\b")
 #: A query goes on after these.
 _OPEN = re.compile(r"(?i)(?:\b(?:UNION|ALL|EXCEPT|INTERSECT|AS|DISTINCT|EXPLAIN|RETURNING)|[(,=])\s*$")
@@ -109,7 +110,7 @@ class Reader:
                 view = head == "CREATE" and re.search(r"(?i)\bVIEW\b", first[0])
                 goes_on = goes_on or bool(view) or (head == "INSERT" and not values) or re.match(r"(?i)\s*WITH\b", self.code[start:at]) is not None and not head
             elif word == "WITH":
-                goes_on = goes_on or head in ("CREATE", "SELECT")
+                goes_on = goes_on or head == "CREATE" or not _CTE.match(self.code, m.start(1), b)
             elif word in ("INSERT", "UPDATE", "DELETE"):
                 goes_on = goes_on or re.match(r"(?i)\s*WITH\b", self.code[start:at]) is not None and not head
             if not goes_on:

@@ -64,3 +64,37 @@ def test_sql():
     assert [c["name"] for c in t["columns"]] == ["a", "b"] and t["columns"][0]["primary"] and not t["columns"][1]["nullable"]
     assert t["foreignKeys"][0]["reference"]["table"] == "u" and s["comments"][0]["content"] == "n" and s["inserts"][0]["table"] == "t"
     assert parse_source("sql", "CREATE TABLE [dbo].[x] ([a] INT)\nGO\nPRINT 'GO'\nGO")["detail"] == {"dialect": "transactsql"}
+
+
+def test_rust_macro_bodies_and_c_typedefs():
+    r = parse_source("rust", "macro_rules! m { ($x:ident) => { pub fn no() {} struct No; } }\npub fn yes() {}")
+    assert names(r, "functions") == ["yes"] and not r["classes"]
+    c = parse_source("c", "typedef struct { int a; } T;\ntypedef struct N { int b; } N;\ntypedef struct P { int c; } Q;")
+    assert [(e["name"], e["kind"]) for e in c["exports"]] == [("T", "type"), ("N", "type"), ("Q", "type"), ("P", "struct")]
+
+
+def test_sql_behind_other_words():
+    s = parse_source("sql", "SET NOCOUNT ON\nSELECT a FROM t\nWITH x AS (SELECT 1 a) SELECT b FROM x\nIF OBJECT_ID('n') IS NULL CREATE TABLE n (a INT)\nBEGIN TRAN\nINSERT INTO n (a) VALUES (1)\nCOMMIT\n-- GO")
+    assert [x["from"] for x in s["selects"]] == [["t"], ["x"]] and names(s, "tables") == ["n"] and [x["table"] for x in s["inserts"]] == ["n"]
+    many = ", ".join(f"@p{i} INT" for i in range(60))
+    p = parse_source("sql", f"CREATE PROCEDURE q {many}\nAS SELECT 1\nGO")["storedProcedures"][0]
+    assert len(p["params"]) == 60
+    assert [x["name"] for x in parse_source("sql", "CREATE PROCEDURE r @a INT, @b INT, DECLARE INT")["storedProcedures"][0]["params"]] == ["@a", "@b"]
+    assert parse_source("sql", "CREATE VIEW v AS\nSELECT a\nFROM t\nUNION\nSELECT b FROM u;\nINSERT INTO w (a)\nSELECT c FROM t;")["selects"] == []
+
+
+@pytest.mark.parametrize("kind,text", [("sql", "INSERT INTO t (a) VALUES ('x;y');\n-- c\n"), ("javascript", "function f(a) { return g(a); }\napp.get('/x', f);\n"), ("python", "def f(a):\n    return a\n")])
+def test_large_files_take_time_in_proportion(kind, text):
+    import time
+
+    took = []
+    for n in (1000, 8000):
+        t = time.process_time()
+        parse_source(kind, text * n)
+        took.append(time.process_time() - t)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_python_deep_expressions_and_levels():
+    f = parse_source("python", "import a\ntry:\n    import b\nexcept E:\n    import c\nimport d\nx = " + "+".join(["1"] * 3000))
+    assert [i["source"] for i in f["imports"]] == ["a", "d", "b", "c"] and names(f, "exports") == ["x"]

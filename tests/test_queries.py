@@ -20,7 +20,7 @@ def con(sf):
     return c
 
 
-@pytest.mark.parametrize("name", ["facts_python", "facts_javascript", "facts_sql_ddl", "facts_sql_dml", "facts_cargo_toml", "html_stats", "file_types", "tree_lines", "technologies", "entry_points", "modules", "file_purpose", "size_guard", "sql_dialect", "project_stats", "parse_errors", "markdown_clean"])
+@pytest.mark.parametrize("name", ["facts_python", "facts_javascript", "facts_sql_ddl", "facts_sql_dml", "facts_cargo_toml", "html_stats", "file_types", "tree_lines", "technologies", "entry_points", "modules", "file_purpose", "size_guard", "sql_dialect", "project_stats", "parse_errors", "markdown_clean", "facts_sql_fallback", "facts_python_awkward", "facts_javascript_awkward", "report_sections", "readme", "module_texts", "readme_enhanced", "text_enhanced", "markdown_repair", "valid_inputs", "sql_functions"])
 def test_against_oracle(spark, sf, con, name):
     df = catalogue.queries()[name](spark, sf)
     cols = sorted(df.columns)
@@ -67,6 +67,47 @@ def test_zip(spark, tmp_path):
         repositories.from_archives(spark, "/nonexistent/path.zip")
 
 
+def test_limits_before_texts(spark, tmp_path, monkeypatch):
+    """A directory or an archive over the limits is refused before its texts are read."""
+    import zipfile
+
+    for i in range(4):
+        (tmp_path / f"f{i}.js").write_text("x" * 50)
+    with zipfile.ZipFile(tmp_path / "z.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.js", "x" * 10_000)
+    monkeypatch.setattr(repositories, "_text_of", lambda p: pytest.fail("read"))
+    monkeypatch.setattr(repositories.rules, "MAX_FILES", 3)
+    with pytest.raises(repositories.InputError, match="files are over"):
+        repositories.from_directory(spark, str(tmp_path))
+    monkeypatch.setattr(repositories.rules, "MAX_TOTAL_BYTES", 100)
+    with pytest.raises(repositories.InputError, match="MB is over"):
+        repositories.admitted([("a", 101)], "r")
+    with zipfile.ZipFile(tmp_path / "z.zip") as z, pytest.raises(repositories.InputError):
+        repositories.admitted([(m.filename, m.file_size) for m in repositories._members(z)], "z")
+
+
+def test_inputs_and_saved_report(spark, tmp_path):
+    for bad in ("", "  ", None):
+        with pytest.raises(repositories.InputError):
+            api.validated(bad)
+    assert api.validated(" https://h/r ") == "https://h/r"
+    (tmp_path / "a.py").write_text("import os")
+    text = api.analyze(spark, str(tmp_path), out=str(tmp_path / "out"))
+    assert (tmp_path / "out/analysis.txt").read_text() == text
+    rows = repositories.from_driver(spark, str(tmp_path), "r").collect()
+    assert {r["path"] for r in rows} == {"a.py", "out/analysis.txt"}
+
+
+def test_stream(spark, tmp_path):
+    from codestrata.streaming import watch
+
+    spark.createDataFrame([("r", "a.py", "import os\ndef f(): pass"), ("r", "b.js", "f(")], "repo_id string, path string, content string").write.parquet(str(tmp_path / "in"))
+    stream = watch.parsed_stream(spark, str(tmp_path / "in"))
+    watch.running_stats(stream, str(tmp_path / "cp"), str(tmp_path / "out")).awaitTermination()
+    row = watch.latest_stats(spark, str(tmp_path / "out")).first()
+    assert (row["files"], row["n_imports"], row["n_functions"]) == (1, 1, 1)
+
+
 def test_enhancement_falls_back(spark):
     def broken(_):
         raise RuntimeError("down")
