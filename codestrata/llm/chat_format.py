@@ -122,7 +122,8 @@ def _quoted(text: str) -> str:
 def as_events(conversations: DataFrame) -> DataFrame:
     """Rows of a table of finished turns as `message` events, each its own message."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    c = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id")
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)  # noqa: E731  null and empty are the same before ties are ordered
+    c = conversations.select("conv_id", "turn", empty("role"), empty("text")).repartition("conv_id")
     return c.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"), F.row_number().over(order).cast("long").alias("msg_id"), "role", "text")
 
 

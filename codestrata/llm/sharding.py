@@ -35,11 +35,11 @@ HASH_BITS = 60
 BLOCK_ROWS = 50_000
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, hash (60 bits, not negative), n_bytes, ordinal (of its place; fixed once written)."""
+def sized(docs: DataFrame, ordinal: Column | None = None) -> DataFrame:
+    """doc_id, hash (60 bits, not negative), n_bytes, ordinal (of its place, fixed once written, unless one is given)."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
-    return docs.select("doc_id", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("hash"), size.alias("n_bytes"), F.monotonically_increasing_id().alias("ordinal"))
+    return docs.select("doc_id", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("hash"), size.alias("n_bytes"), (F.monotonically_increasing_id() if ordinal is None else ordinal).alias("ordinal"))
 
 
 def prefix(hash_: Column, bits: int, of: int = HASH_BITS) -> Column:
@@ -77,7 +77,10 @@ def directory(spark: SparkSession, rows: DataFrame, limit: int = SHARD_BYTES, st
 
 def assign(spark: SparkSession, docs: DataFrame, limit: int = SHARD_BYTES, step: int = 12) -> DataFrame:
     """doc_id, shard, depth, prefix, page, n_bytes: a row for each document."""
-    rows = written(spark, sized(docs), "sized")
+    return _placed(spark, written(spark, sized(docs), "sized"), limit, step).drop("ordinal")
+
+
+def _placed(spark: SparkSession, rows: DataFrame, limit: int, step: int) -> DataFrame:
     leaves = directory(spark, rows.select("hash", "n_bytes"), limit, step)
     depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())  # at most 61 numbers
     # a row carries its prefix at every depth in use; exactly one of them is a leaf
@@ -88,7 +91,7 @@ def assign(spark: SparkSession, docs: DataFrame, limit: int = SHARD_BYTES, step:
     parts = whole.unionByName(_pages(placed.filter("NOT fits"), limit))
     page = F.when(F.col("page") > 0, F.concat(F.lit("-"), F.col("page").cast("string"))).otherwise("")
     shard = F.concat(F.lpad(F.col("depth").cast("string"), 2, "0"), F.lit("-"), F.col("prefix").cast("string"), page)
-    return parts.select("doc_id", shard.alias("shard"), "depth", "prefix", "page", F.col("own").alias("n_bytes"))
+    return parts.select("doc_id", shard.alias("shard"), "depth", "prefix", "page", F.col("own").alias("n_bytes"), "ordinal")
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
@@ -101,9 +104,16 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     return run.withColumn("page", number * blocks + F.col("block") + 1).drop("block", "before")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """The shards as folders of parquet files, shard=<depth>-<prefix>[-<page>]; doc_id must identify a row here."""
-    docs.join(placed.select("doc_id", "shard"), "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(spark: SparkSession, docs: DataFrame, path: str, limit: int = SHARD_BYTES, step: int = 12) -> None:
+    """The rows of docs in folders of parquet files, shard=<depth>-<prefix>[-<page>]. Rows are told apart by the place they were written at, so repeated keys are written as often as they come."""
+    at = "ordinal__"
+    while at in docs.columns:
+        at += "_"
+    whole = written(spark, docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    placed = _placed(spark, written(spark, sized(whole, F.col(at)), "sized"), limit, step).select(F.col("ordinal").alias(at), F.col("shard").alias("shard__"))
+    out = whole.join(placed, at).drop(at)
+    name = "shard" if "shard" not in docs.columns else "shard__"
+    out.withColumnRenamed("shard__", name).repartition(name).write.partitionBy(name).parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,7 +235,7 @@ def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists: list[list[str]] = [[] for _ in range(rows)]
             key = np.unique(pair_row * len(texts) + pair_word) if len(texts) else np.zeros(0, np.int64)
             for r, i in zip((key // max(1, len(texts))).tolist(), (key % max(1, len(texts))).tolist()):
-                lists[r].append(texts[i][:64])
+                lists[r].append(texts[i])
             yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(row, rows), pa.array(lists, pa.list_(pa.string()))], names=["toxic", "words"])
 
 
@@ -283,12 +283,21 @@ def train(documents: list[tuple[int, list[str]]], landmarks: int = LANDMARKS, ro
     model, hard = None, []
     for r in range(rounds):
         pos, neg = list(weight_of), list(dict.fromkeys(hard[: max_words // 2] + negatives))[:max_words]
-        train_words = pos + neg
-        y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-        grid = pieces(train_words)[1][: len(train_words)]  # the first piece of a long training word
-        w = np.concatenate([np.array([weight_of[x] for x in pos]) / sum(weight_of.values()), np.full(len(neg), 1.0 / len(neg))])
-        heavy = np.argsort(-w[: len(pos)], kind="stable")[: landmarks // 2]
-        some = len(pos) + np.concatenate([np.arange(min(len(neg), landmarks // 4)), rng.integers(0, len(neg), landmarks // 4)])
+        # a suspicious word stands as the piece that the rounds before find most suspicious (at first all of them), a clean word as all its pieces
+        owner, grid = pieces(pos)
+        share = np.array([weight_of[x] for x in pos])
+        if model is None:
+            share = (share / np.bincount(owner, minlength=len(pos)))[owner]
+        else:
+            value = values(grid, model.weights)
+            grid = grid[[max(of, key=value.__getitem__) for of in _by_owner(owner, len(pos))]]
+        clean_grid = pieces(neg)[1]
+        pos_rows, neg_rows = len(grid), len(clean_grid)
+        grid = np.concatenate([grid, clean_grid])
+        y = np.concatenate([np.ones(pos_rows), -np.ones(neg_rows)])
+        w = np.concatenate([share / share.sum(), np.full(neg_rows, 1.0 / neg_rows)])
+        heavy = np.argsort(-w[:pos_rows], kind="stable")[: landmarks // 2]
+        some = pos_rows + np.concatenate([np.arange(min(neg_rows, landmarks // 4)), rng.integers(0, neg_rows, landmarks // 4)])
         marks = np.unique(np.concatenate([heavy, some]))
         model = _fit(grid, y, w, marks)
         # the next round's examples: each rejected document's most suspicious words, and clean words beyond the margin
@@ -306,6 +315,14 @@ def train(documents: list[tuple[int, list[str]]], landmarks: int = LANDMARKS, ro
     return Model(model.weights, model.bias, curve)
 
 
+def _by_owner(owner: np.ndarray, n: int) -> list[list[int]]:
+    """The places of each owner's pieces."""
+    out: list[list[int]] = [[] for _ in range(n)]
+    for i, o in enumerate(owner.tolist()):
+        out[o].append(i)
+    return out
+
+
 def _fit(grid: np.ndarray, y: np.ndarray, w: np.ndarray, marks: np.ndarray) -> Model:
     used = np.unique(features(grid[marks])[0])
     used = used[used >= 0]

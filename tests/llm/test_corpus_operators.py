@@ -189,6 +189,52 @@ def test_toxicity_learns_gapped_words(spark):
     assert sum(scored[i] == bool(t) for i, _, t in labels) >= 295
 
 
+def naive_subsequences(word):
+    """Gapped three-letter subsequences of a word between its edge marks: (letters) -> summed weight, letters as the operator's classes."""
+    codes = [toxicity.EDGE] + [c for c in (int(toxicity._CODE[ord(x)]) if ord(x) < 0x250 else toxicity.OTHER for x in word) if c != 255] + [toxicity.EDGE]
+    out = defaultdict(float)
+    for i in range(len(codes)):
+        for j in range(i + 1, len(codes)):
+            for k in range(j + 1, len(codes)):
+                if k - i < toxicity.SPAN:
+                    out[codes[i], codes[j], codes[k]] += toxicity.DECAY ** (k - i)
+    norm = sum(toxicity.DECAY ** (2 * (k - i)) for i in range(len(codes)) for j in range(i + 1, len(codes)) for k in range(j + 1, len(codes)) if k - i < toxicity.SPAN)
+    return {x: v / max(norm, 1e-9) ** 0.5 for x, v in out.items()} if len(codes) > 2 else {}
+
+
+def test_toxicity_kernel_against_a_naive_one():
+    """The folded landmarks give every word the value that naive kernels with the landmarks give."""
+    words = ["idiot", "id.iot", "idxiot", "ID1OT", "a", "", "...", "été", "\u4e2d\u6587\u5b57", "clean", "abcdefghijklmnopqrst"]
+    owner, grid = toxicity.pieces(words)
+    assert owner.tolist() == list(range(len(words)))
+    phi = [naive_subsequences(w) for w in words]
+    kernel = lambda a, b: sum(v * b.get(k, 0.0) for k, v in a.items())
+    assert kernel(phi[0], phi[1]) == pytest.approx(kernel(phi[0], phi[0])) and kernel(phi[0], phi[2]) > 2 * kernel(phi[0], phi[9])
+    rng = np.random.default_rng(3)
+    y, w = rng.choice([-1.0, 1.0], len(words)), np.full(len(words), 1 / len(words))
+    marks = np.array([0, 2, 9, 10])
+    model = toxicity._fit(grid, y, w, marks)
+    gram = np.array([[kernel(phi[a], phi[b]) for b in marks] for a in marks])
+    k = np.array([[kernel(x, phi[b]) for b in marks] for x in phi])
+    vals, vecs = np.linalg.eigh(gram + 1e-6 * np.eye(len(marks)))
+    root = (vecs[:, vals > 1e-4] / np.sqrt(vals[vals > 1e-4])) @ vecs[:, vals > 1e-4].T
+    v, b = toxicity._svm(k @ root, y, w)
+    assert np.allclose(toxicity.values(grid, model.weights) + model.bias, k @ root @ v + b, atol=2e-3)
+
+
+def test_toxicity_trains_on_whole_words(spark):
+    """What tells two words apart behind 80 common letters is learned and found."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("bcdfghklmnprstv") for _ in range(n))
+    head = letters(80)
+    rows = [(i, " ".join(letters(6) for _ in range(20)) + " " + head + ("zaqwuxoj" if i % 3 == 0 else "bcdfghkl")) for i in range(1, 240)]
+    labels = spark.createDataFrame([(i, 1 if i % 3 == 0 else 0) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels)
+    got = {r.doc_id: r.score for r in toxicity.scores(docs(spark, rows), model).collect()}
+    right = sum((got[i] >= 0.5) == (i % 3 == 0) for i, _ in rows)
+    assert right > 0.95 * len(rows)
+
+
 def test_toxicity_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs(spark, ODD), lab)
@@ -214,6 +260,58 @@ def test_mixing(spark):
     assert mixing.mixed(spark, d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("entropy,repetition,budget", [(None, 2.0, None), (0.7, None, 900), (None, 1.5, 2500), (0.4, 3.0, None)])
+def test_mixing_against_brute_force(spark, entropy, repetition, budget):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randint(0, 9), rng.choice(["a"] * 12 + ["b"] * 3 + ["c", None])) for i in range(400)] + [(7, "w w", "b"), (None, "w", "c"), (900, None, "void")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.row.doc_id, r.row.text, r.row.source) for r in mixing.mixed(spark, d, 5, entropy, repetition, budget).select("row").collect())
+    count = lambda t: len((t or "").split())
+    tokens = Counter()
+    for _, t, s in rows:
+        tokens[s or ""] += count(t)
+    total = sum(tokens.values())
+    p = {s: n / total for s, n in tokens.items() if n}
+
+    def fits(a):
+        w = {s: x**a for s, x in p.items()}
+        z = sum(w.values())
+        h = -sum(x / z * math.log(x / z) for x in w.values()) / math.log(len(p))
+        each = [w[s] / z / p[s] for s in p]
+        most = max(each) / min(each) if budget is None else max(each) * budget / total
+        return (entropy is None or h <= entropy + 1e-12) and (repetition is None or most <= repetition + 1e-12)
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        lo, hi = ((lo + hi) / 2, hi) if not fits((lo + hi) / 2) else (lo, (lo + hi) / 2)
+    a = (0.0 if fits(0.0) else hi) if fits(1.0) else 1.0
+    w = {s: x**a for s, x in p.items()}
+    least = min(w[s] / p[s] for s in p)
+    want = Counter()
+    for s in {r[2] or "" for r in rows}:
+        mine = [r for r in rows if (r[2] or "") == s]
+        all_ = 1.0 if s not in p else w[s] / p[s] / least if budget is None else w[s] / sum(w.values()) * budget / tokens[s]
+        whole = int(all_ + 1e-6)
+        left = (all_ - whole) * tokens[s]
+        keys = spark.createDataFrame(mine, "doc_id long, text string, source string").select("*", F.xxhash64(F.lit(5), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
+        order = keys.select("doc_id", "text", "source", F.xxhash64(F.lit(5), F.lit(whole), F.pmod("key", F.lit(mixing.BLOCKS)).cast("int")).alias("o"), F.xxhash64(F.lit(5), F.lit(whole), "key").alias("w")).collect()
+        for r in order:
+            want[r.doc_id, r.text, r.source] += whole
+        taken, so_far = 0, defaultdict(list)
+        for r in order:
+            so_far[r.o, r.w].append(r)
+        for at in sorted(so_far):
+            taken += sum(count(r.text) for r in so_far[at])
+            if taken > left + 1e-3:
+                break
+            for r in so_far[at]:
+                want[r.doc_id, r.text, r.source] += 1
+    want = Counter({k: n for k, n in want.items() if n})
+    # the bisection stops within 1e-8 of the exponent: a row at a cut may differ
+    assert sum(((got - want) + (want - got)).values()) <= 2
+    assert budget is None or sum(count(t) * n for (_, t, _), n in got.items()) <= budget
+
+
 def test_mixing_exponent_meets_entropy(spark):
     s = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10)], "source__mix string, tokens__mix long")
     a = mixing.exponent(s, entropy=0.6, repetition=None)
@@ -314,6 +412,15 @@ def test_sharding_against_brute_force(spark, monkeypatch):
     assert sum(map(len, by.values())) == len(rows) and all(sum(r.n_bytes for r in x) <= 2000 or len(x) == 1 for x in by.values())
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(i, "x" * (i % 200)) for i in range(200)] + [(7, "dup" * 50)] * 30 + [(None, None), (900, "y" * 5000)]
+    sharding.write_shards(spark, docs(spark, rows), str(tmp_path / "out"), 2000, 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows)
+    size = back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + sharding.ROW_BYTES).alias("n"), F.count("*").alias("c"))
+    assert all(r.n <= 2000 or r.c == 1 for r in size.collect())
+
+
 def groups_of(rows, width, threshold=80):
     sets = {}
     for i, t in rows:
@@ -393,6 +500,33 @@ def test_pipeline_stages(spark, tmp_path, sf):
     assert last.count() == df.count() > 100 and {"doc_id", "shard"} <= set(last.columns)
 
 
+def test_pipeline_stages_at_the_edges(spark, tmp_path):
+    """Null columns, empty and long texts, ties, repeated rows, an empty table, clashing names: each stage keeps what it should, with its columns."""
+    long = " ".join(f"v{i}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, "one two three four five six seven"), (3, "one two three four five six seven"), (4, "one two three four five six seven"), (None, "a null id"), (None, "a null id"), (5, long), (6, " \t"), (7, "\u00c9t\u00e9 2024")]
+    frame = docs(spark, rows).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "s")).withColumn("n_chars", F.length("text"))
+    spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, "x"), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for df, names in ((frame, list(frame.columns)), (frame.limit(0), list(frame.columns))):
+        n = df.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, str(tmp_path))
+            got = Counter((r.doc_id, getattr(r, "text", None)) for r in out.collect())
+            if name == "near_dedup":
+                # rows of one doc_id are one document; without an id nothing is a copy
+                want = Counter(rows if n else [])
+                want = Counter({k: 1 if k[0] == 3 else c for k, c in want.items() if k[0] != 4})
+            elif name == "sharding":
+                assert sum(got.values()) == n and {"doc_id", "shard"} <= set(out.columns)
+                continue
+            elif name == "mixing":
+                assert set(got) == set(rows if n else []) and all(got[k] <= 2 * c for k, c in Counter(rows).items())
+                continue
+            else:
+                want = Counter(rows if n else [])
+            assert got == want and out.columns == names, name
+
+
 def test_pipeline_decontamination_against_brute_force(spark, tmp_path):
     alnum = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     rng = random.Random(6)

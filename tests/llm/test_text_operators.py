@@ -87,6 +87,16 @@ def test_chat_round_trip(spark):
     assert chat_format.digest(chat_format.render(chat_format.fold(chat_format.as_events(conv.limit(0))))).count() == 0
 
 
+def test_chat_ties_of_null_and_empty(spark):
+    """Null role and text are empty before ties are ordered, in any arrangement of the rows; repeated rows stay."""
+    rows = [(1, 0, None, "b"), (1, 0, "", "a"), (1, 0, "assistant", None), (1, 0, "assistant", ""), (1, None, "user", "first"), (1, 0, "", "a")]
+    want = "user\nfirst\n" + "\na\n" * 2 + "\nb\n" + "assistant\n\n" * 2
+    for arranged in (rows, rows[::-1]):
+        c = spark.createDataFrame(arranged, "conv_id long, turn long, role string, text string")
+        got = chat_format.digest(chat_format.render(chat_format.fold(chat_format.as_events(c)))).first()
+        assert got.n_turns == 6 and got.turns_sha256 == hashlib.sha256(want.encode()).hexdigest() and got.loss_chars == 0
+
+
 def test_chat_events_fold(spark):
     log = [(1, 1, "message", 1, "user", "q"), (1, 2, "message", 2, "assistant", "a"), (1, 3, "delta", 2, None, "b"), (1, 4, "message", 3, "user", "no"), (1, 5, "regenerate", 2, None, None), (1, 6, "delta", 2, None, "new"), (1, 7, "delta", 2, None, "er"), (1, 8, "message", 4, "user", "typo"), (1, 9, "edit", 4, None, "fixed")]
     got = chat_format.fold(spark.createDataFrame(log, "conv_id long, seq long, event string, msg_id long, role string, text string")).orderBy("pos").collect()
