@@ -107,7 +107,8 @@ SECTIONS = ("overview", "statistics", "files", "endpoints", "dependencies", "alt
 def sections(f: DataFrame) -> DataFrame:
     """repo_id, section, text: each section of the text report."""
     out = None
-    for name, s in zip(SECTIONS, report.text_sections(f, parse.parse_files(f)), strict=True):
+    # every section reads the parsed records: kept, not parsed once a section
+    for name, s in zip(SECTIONS, report.text_sections(f, parse.parse_files(f).persist()), strict=True):
         s = s.filter("text IS NOT NULL AND text <> ''").select("repo_id", F.lit(name).alias("section"), "text")
         out = s if out is None else out.unionByName(s)
     return out
@@ -493,7 +494,7 @@ def _rows(column: str, texts: dict[str, str], value: str = "text") -> str:
 def _report(which: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = files(spark, sf_dir)
-        p = parse.parse_files(f)
+        p = parse.parse_files(f).persist()
         return report.markdown_readme(f, p, f) if which == "readme" else report.module_docs(f, p)
 
     return run
