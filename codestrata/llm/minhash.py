@@ -20,7 +20,7 @@
 Edge cases: null or empty texts and texts of separators have no set: they link with
 nothing. Fewer words than a shingle: the whole sequence is one. A null doc_id is linked
 with nothing, gets a null component and is kept. Rows that repeat a doc_id are one document:
-their links count together and they share the result. An empty table gives no rows. Extra
+their links count together and they share the result (keep_one keeps one of them). An empty table gives no rows. Extra
 columns are not read.
 """
 
@@ -293,9 +293,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 5, threshold:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs without the documents of each group that its smallest doc_id stands for."""
+    """docs with one document of each group, that of its smallest doc_id; of rows that repeat its doc_id the one of the smallest text stays. Rows without a doc_id all stay."""
     gone = near_dedup(spark, docs, width, threshold).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = written(spark, docs.select("doc_id").filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeats")
+    if again.isEmpty():
+        return rest
+    order = F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))
+    one = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*")
+    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
