@@ -307,8 +307,11 @@ def test_mixing_against_brute_force(spark, entropy, repetition, budget):
             for r in so_far[at]:
                 want[r.doc_id, r.text, r.source] += 1
     want = Counter({k: n for k, n in want.items() if n})
-    # the bisection stops within 1e-8 of the exponent: a row at a cut may differ
-    assert sum(((got - want) + (want - got)).values()) <= 2
+    # the bisection stops within 1e-8 of the exponent: of each source the row at its cut may differ, or change places with the next
+    off = Counter()
+    for (_, _, s), n in ((got - want) + (want - got)).items():
+        off[s] += n
+    assert max(off.values(), default=0) <= 2
     assert budget is None or sum(count(t) * n for (_, t, _), n in got.items()) <= budget
 
 
