@@ -14,6 +14,8 @@ def local_session(cores: str = "8", app: str = "codestrata", memory: str = "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
+        # tasks share the cores already: a thread each for the workers' linear algebra
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
