@@ -381,6 +381,41 @@ def test_search_skips_blocks(monkeypatch):
     assert (pruned.score == whole.score[:, :3]).all() and (pruned.doc == whole.doc[:, :3]).all()
 
 
+def test_rows_of_the_index_are_narrow():
+    """A row passes through the JVM whole: 4 bytes a posting and 10 a term at most here (it was 8 and 12), and counts of any size come back."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 200) % 5000) for _ in range(500)] + ["b " * 300, "", None, "c " * 70000]
+    ids = pa.array([*range(503), None])
+    plain = bm25._posting_lists(ids, pa.array(texts, pa.large_string()))
+    (narrow,) = bm25._index(1000, 1 << 30)(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts)], names=["doc_id", "text"])]))
+    numbers = lambda k, kind: np.frombuffer(plain.column(k)[0].as_buffer(), dtype=kind)
+    length, row, tf = (numbers(k, np.int32) for k in (3, 4, 5))
+    most = int(tf.max())
+    assert most == 70000
+    got = [bm25._unpacked(narrow.column(k)[0].as_buffer(), n) for k, n in ((3, len(length)), (4, len(row)), (5, len(tf)))]
+    assert all((a == b).all() for a, b in zip(got, (length, row, tf)))
+    (narrow,) = bm25._index(1000, 1 << 30)(iter([pa.RecordBatch.from_arrays([ids[:500], pa.array(texts[:500])], names=["doc_id", "text"])]))
+    terms = len(narrow.column(2)[0].as_buffer()) // 8
+    postings = int(bm25._unpacked(narrow.column(3)[0].as_buffer(), terms).sum())
+    assert sum(len(narrow.column(k)[0].as_buffer()) for k in (2, 3, 4, 5)) <= 10 * terms + 4 * postings
+
+
+def test_search_lays_out_few_postings_at_once(spark, monkeypatch):
+    """Postings of a few queries are laid out at a time, and the best are those of scoring by single queries."""
+    rows = corpus(90)
+    found = lambda: [tuple(r) for r in bm25.search(spark, docs(spark, rows), docs(spark, rows[:40]), 5).orderBy("query_id", "rank").collect()]
+    for name, value in {"SHARD_DOCS": 30, "BLOCK": 4, "DENSE": 6, "PIVOTS": 1}.items():
+        monkeypatch.setattr(bm25, name, value)
+    want = []
+    for few in (1, 7, 64):
+        monkeypatch.setattr(bm25, "FEW", few)
+        got = found()
+        want = want or got
+        assert got == want and len(got) == 200
+
+
 def test_sharding(spark):
     rows = [(i, "x" * (i % 300)) for i in range(500)] + [(7, "dup" * 50)] * 40 + [(None, None), (900, "y" * 5000)]
     placed = sharding.assign(spark, docs(spark, rows), 2000, 3).collect()
