@@ -21,8 +21,10 @@ start, so that averages of weights make sense); then every task trains on every
 all training texts of its blocks, and the tasks' weights are averaged by tokens seen. The
 driver gets at most a number a parameter, a vocabulary table and a table of class pairs.
 
-Base score: the distinct words of a block are joined with the counts once a block, not once
-a document, and come back as one list a block. No text is shuffled.
+Base score: the most frequent words (``FREQUENT`` at most, of ``SHORT`` bytes at most) travel with
+the job and are counted where the block is scored; of all other words, the distinct ones of a
+block are joined with their counts once a block, not once a document, and come back as one
+list a block. No text is shuffled.
 
 Edge cases: null and empty texts are the end token alone; ties in counts are broken by the
 word or id; repeated rows are scored (and trained on) each; with no training text N and V
@@ -39,6 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +58,9 @@ BATCH_WINDOWS = 256  #: a batch's arrays stay in a core's cache
 CHUNK = 1 << 20
 SMOOTH = 0.5
 #: Row groups of a few blocks, so that tasks of the later passes can part a file.
-ROW_GROUPS = {"parquet.block.size": 2 << 20, "parquet.page.size.row.count.limit": 4, "parquet.block.row.count.limit": 4}
+ROW_GROUPS = {"compression": "zstd", "parquet.block.size": 2 << 20, "parquet.page.size.row.count.limit": 4, "parquet.block.row.count.limit": 4}
+#: Words whose counts travel with the job; longer ones never do. STEPS of counts to a doubling, where the frequent ones are told from the rest.
+FREQUENT, SHORT, STEPS = 1 << 18, 64, 8
 PAIR_PRIOR = 20.0  #: pseudo-counts of the class's own share in a row of class pairs
 
 
@@ -476,6 +481,23 @@ class Model:
     train_tokens: int  #: N
     distinct: int  #: V
     ends: int
+    frequent: pa.Table  #: word, c
+    rare: DataFrame  #: the rest of counts
+
+
+def parted(counts: DataFrame) -> tuple[pa.Table, DataFrame]:
+    """counts (word, c) as the most frequent short words, FREQUENT at most, and all others."""
+    step = F.when(F.octet_length("word") <= SHORT, F.floor(F.log2("c") * STEPS)).otherwise(-1)
+    sizes = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # STEPS rows a doubling of the largest count
+    least, taken = math.inf, 0
+    for r in sizes:
+        taken += r["count"]
+        if r["step"] < 0 or taken > FREQUENT:
+            break
+        least = r["step"]
+    if least == math.inf:
+        return pa.table({"word": pa.array([], pa.string()), "c": pa.array([], pa.int64())}), counts
+    return counts.filter(step >= least).select("word", "c").toArrow(), counts.filter(step < least)
 
 
 def train_blocks(spark: SparkSession, corpus: Corpus) -> Model:
@@ -496,7 +518,7 @@ def train_blocks(spark: SparkSession, corpus: Corpus) -> Model:
     warm = coded.orderBy(F.xxhash64(F.lit(11), "block"), "block").limit(WARM_BLOCKS).coalesce(1)
     p = _averaged(warm.mapInArrow(_train(classes, pairs, p, WARM_RATE, WARM_STEPS // WARM_BLOCKS), "at long, v double"), p)
     p = _averaged(coded.mapInArrow(_train(classes, pairs, p, RATE, None), "at long, v double"), p)
-    return Model(corpus.encoder, classes, pairs, p, counts, total[0] + ends, total[1] + (1 if ends else 0), ends)
+    return Model(corpus.encoder, classes, pairs, p, counts, total[0] + ends, total[1] + (1 if ends else 0), ends, *parted(counts))
 
 
 def train(spark: SparkSession, texts: DataFrame, vocabulary: str = VOCABULARY) -> Model:
@@ -504,45 +526,83 @@ def train(spark: SparkSession, texts: DataFrame, vocabulary: str = VOCABULARY) -
     return train_blocks(spark, read(spark, texts, Encoder(read_ranks(vocabulary)), F.lit(True)))
 
 
-def _score(classes: Classes, pairs: Pairs, params: Params):
+SCORED = "block long, doc_id array<long>, n_words array<long>, score array<double>, base array<double>, known array<long>, rare array<long>, at binary, words array<string>"
+
+
+def _below(model: Model) -> float:
+    return float(model.train_tokens + model.distinct + 1)
+
+
+def _base(c: np.ndarray, n: np.ndarray, below: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 probability, known words) of texts of n words each, by their counts one after another."""
+    row = np.repeat(np.arange(len(n)), n)
+    base, known = (np.bincount(row, weights=x, minlength=len(n)) for x in (np.log10((c + 1) / below), c > 0))
+    return base.astype(np.float64), known.astype(np.int64)  # of no words at all, bincount's are whole numbers
+
+
+def _score(classes: Classes, pairs: Pairs, params: Params, frequent: pa.Table, below: float):
+    """Blocks with the model's score and the base of their frequent words; the other words, distinct, and their places (rare: how many a text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, first, count, _ in _texts(batches):
-            out = score_classes(params, pairs, classes.of[ids].astype(np.int16), first, count) / math.log(10)
-            out += np.add.reduceat(classes.log_p[ids], first)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), tk.list_array(np.array([len(out)]), pa.array(out))], names=["block", "score"])
+        known, counts = frequent.column("word").combine_chunks(), np.append(frequent.column("c").to_numpy(), 0)
+        for batch in batches:
+            words = batch.column("words")
+            found = pc.index_in(words.flatten(), known).fill_null(len(known)).to_numpy()
+            ends = np.cumsum(words.value_lengths().to_numpy())
+            for i, (block, ids, first, count, _) in enumerate(_texts([batch])):
+                out = score_classes(params, pairs, classes.of[ids].astype(np.int16), first, count) / math.log(10)
+                out += np.add.reduceat(classes.log_p[ids], first)
+                n, own = batch.column("n_words")[i].values.to_numpy(), words[i].values
+                c = counts[found[ends[i] - len(own) : ends[i]]]
+                rare = np.flatnonzero(c == 0)
+                at = _wide(batch.column("at")[i].as_buffer(), int(n.sum()))
+                is_rare, row = c[at] == 0, np.repeat(np.arange(len(n)), n)
+                often = np.bincount(row[~is_rare], minlength=len(n))
+                base, seen = _base(c[at[~is_rare]], often, below)
+                one = lambda values: tk.list_array(np.array([len(values)]), pa.array(values))
+                arrays = [
+                    pa.array([block]),
+                    one(batch.column("doc_id")[i].values),
+                    one(n),
+                    one(out),
+                    one(base),
+                    one(seen),
+                    one(n - often),
+                    pa.array([_narrow(np.searchsorted(rare, at[is_rare]), len(rare))], pa.binary()),
+                    one(own.take(pa.array(rare))),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
 
-def _finish(n_train: int, distinct: int, ends: int):
-    below = float(n_train + distinct + 1)
-
+def _finish(below: float, ends: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 values = lambda name: batch.column(name)[i].values
-                n = values("n_words").to_numpy()
+                rare = values("rare").to_numpy()
                 counts = np.zeros(max(1, batch.column("distinct")[i].as_py()))
                 if batch.column("found")[i].is_valid:
                     found = values("found")
                     counts[found.field("pos").to_numpy()] = found.field("c").to_numpy()
-                c = counts[_wide(batch.column("at")[i].as_buffer(), int(n.sum()))]
-                row = np.repeat(np.arange(len(n)), n)
-                base = np.bincount(row, weights=np.log10((c + 1) / below), minlength=len(n)) + math.log10((ends + 1) / below)
-                known = np.bincount(row, weights=c > 0, minlength=len(n)).astype(np.int64) + (ends > 0)
-                yield pa.RecordBatch.from_arrays([values("doc_id"), pa.array(n + 1), pa.array(known), pa.array(base), values("score")], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                base, known = _base(counts[_wide(batch.column("at")[i].as_buffer(), int(rare.sum()))], rare, below)
+                base += values("base").to_numpy() + math.log10((ends + 1) / below)
+                known += values("known").to_numpy() + (ends > 0)
+                yield pa.RecordBatch.from_arrays([values("doc_id"), pa.array(values("n_words").to_numpy() + 1), pa.array(known), pa.array(base), values("score")], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
 def score_blocks(corpus: Corpus, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score: a row for each row of the corpus."""
-    blocks = corpus.blocks
-    asked = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    hit = asked.join(model.counts, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))  # at most the words of a chunk
-    scored = blocks.select("block", "n_ids", "ids", "trains").mapInArrow(_score(model.classes, model.pairs, model.params), "block long, score array<double>")
-    whole = blocks.select("block", "doc_id", "n_words", "at", F.size("words").alias("distinct")).join(scored, "block").join(hit, "block", "left")
-    return whole.mapInArrow(_finish(model.train_tokens, model.distinct, model.ends), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    spark, below = corpus.blocks.sparkSession, _below(model)
+    coded = corpus.blocks.select("block", "doc_id", "n_words", "n_ids", "ids", "trains", "at", "words")
+    scored = written(spark, coded.mapInArrow(_score(model.classes, model.pairs, model.params, model.frequent, below), SCORED), "scored", **ROW_GROUPS)
+    asked = scored.select("block", F.posexplode("words").alias("pos", "word"))
+    hit = asked.join(model.rare, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))  # at most the words of a chunk
+    whole = scored.withColumn("distinct", F.size("words")).drop("words").join(hit, "block", "left")
+    return whole.mapInArrow(_finish(below, model.ends), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

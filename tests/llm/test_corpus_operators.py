@@ -44,6 +44,31 @@ def test_lm_base_scores(spark, small):
     assert got == sorted(want)
 
 
+def test_lm_joins_rare_words_only(spark, small, monkeypatch):
+    """The frequent words of a corpus never enter the join by word, and wherever they are parted the base scores are the same."""
+    rows, written, joined, got = corpus(90, 4) + [(100, "rare " + "long" * 40 + " \u00e9"), (101, "rare unknown")] + ODD, lm_scoring.written, [], []
+
+    def spy(spark, df, name, **options):
+        out = written(spark, df, name, **options)
+        if name == "scored":
+            joined.append({w for r in out.collect() for w in r.words})
+        return out
+
+    monkeypatch.setattr(lm_scoring, "written", spy)
+    for most in (0, 10, 1 << 18):
+        monkeypatch.setattr(lm_scoring, "FREQUENT", most)
+        model = lm_scoring.train(spark, docs(spark, [r for r in rows if r[0] != 101]))
+        counts = {r.word: r.c for r in model.counts.collect()}
+        often = dict(zip(model.frequent.column("word").to_pylist(), model.frequent.column("c").to_pylist()))
+        rest = {r.word: r.c for r in model.rare.collect()}
+        assert counts == often | rest and not often.keys() & rest.keys() and len(often) <= most
+        assert min(often.values(), default=9e9) >= max((c for w, c in rest.items() if len(w) < 64), default=0)
+        out = lm_scoring.score(spark, docs(spark, rows), model).collect()
+        got.append(sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out))
+        assert not joined[-1] & often.keys()
+    assert got[0] == got[1] == got[2] and joined[0] >= counts.keys() and joined[2] == {"long" * 40, "unknown"}
+
+
 def test_lm_is_a_distribution_and_windows_score_once(small):
     counts = np.array([1, 31, 32, 33, 57, 100])
     first = np.cumsum(counts) - counts
