@@ -65,30 +65,25 @@ PAIR_PRIOR = 20.0  #: pseudo-counts of the class's own share in a row of class p
 
 
 class Encoder:
-    """Subword ids of words, with a bounded memory of recent words."""
+    """Subword ids of words, each with a space before it; all words of a call are encoded at once."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 100_000):
-        self.ranks, self.most, self.known, self.core = ranks, most, {}, None
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.core, self.begins = ranks, None, None
 
     def __getstate__(self):
-        return {"ranks": self.ranks, "most": self.most, "known": {}, "core": None}
+        return {"ranks": self.ranks, "core": None, "begins": None}
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, ids of each word)."""
         if self.core is None:
             import tiktoken
 
-            self.core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, encode = self.known, self.core.encode_ordinary
-        out = []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = np.array(encode(" " + w), dtype=np.int32).tobytes()
-            out.append(ids)
-        return np.frombuffer(b"".join(out), dtype=np.int32), np.array([len(x) >> 2 for x in out], dtype=np.int64)
+            self.core = tiktoken.Encoding("words", pat_str=r" [^ ]+", mergeable_ranks=self.ranks, special_tokens={})
+            self.begins = np.zeros(max(self.ranks.values()) + 1, bool)
+            self.begins[[i for b, i in self.ranks.items() if b[:1] == b" "]] = True
+        ids = self.core.encode_to_numpy(" " + " ".join(words)).astype(np.int32)
+        first = np.flatnonzero(self.begins[ids])  # words hold no space, so an id that begins with one begins a word
+        return ids, np.diff(np.append(first, len(ids))).astype(np.int64)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -337,10 +332,13 @@ def descend(state: Adam, pairs: Pairs, w: Windows, rate: float, steps: int | Non
         state.step(g.flat, rate if steps is None else rate * min(1.0, 2 * (1 - t / total)))
 
 
-def subwords(w: tk.Words, encoder: Encoder, end_id: int, distinct: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of all texts, each ending with END; first id of each text; ids of each text). distinct: first place and number of each word, if known."""
-    first, number = distinct or np.unique(w.hashes(), return_index=True, return_inverse=True)[1:]
-    ids, size = encoder(w.texts(first))
+def subwords(w: tk.Words, encoder: Encoder, end_id: int, distinct: tuple[list[str], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts, each ending with END; first id of each text; ids of each text). distinct: the distinct words and the number of each word among them, if known."""
+    if distinct is None:
+        _, first, number = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        distinct = w.texts(first), number
+    words, number = distinct
+    ids, size = encoder(words)
     begin = np.cumsum(size) - size
     own = size[number]
     rows = len(w.count)
@@ -374,7 +372,8 @@ def _read(encoder: Encoder, end: int):
             for row, rows, offsets, data in tk.chunks(batch.column("text"), CHUNK):
                 w = tk.words(offsets, data, tk.NOT_SPACE)
                 _, first, number = np.unique(w.hashes(), return_index=True, return_inverse=True)
-                ids, _, count = subwords(w, encoder, end, (first, number))
+                texts = w.texts(first)
+                ids, _, count = subwords(w, encoder, end, (texts, number))
                 trains = batch.column("trains").slice(row, rows)
                 trained = np.bincount(number, weights=trains.to_numpy(zero_copy_only=False)[w.row], minlength=len(first)).astype(np.int64)
                 one = lambda values: tk.list_array(np.array([len(values)]), values)
@@ -386,7 +385,7 @@ def _read(encoder: Encoder, end: int):
                     one(trains),
                     pa.array([_narrow(ids, end + 1)], pa.binary()),
                     pa.array([_narrow(number, len(first))], pa.binary()),
-                    one(pa.array(w.texts(first), pa.string())),
+                    one(pa.array(texts, pa.string())),
                     one(pa.array(trained)),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in BLOCK.split(", ")])

@@ -69,6 +69,28 @@ def test_lm_joins_rare_words_only(spark, small, monkeypatch):
     assert got[0] == got[1] == got[2] and joined[0] >= counts.keys() and joined[2] == {"long" * 40, "unknown"}
 
 
+def test_lm_words_are_encoded_at_once():
+    """One call of the tokenizer for all words gives the ids of each word alone."""
+    import tiktoken
+
+    ranks = lm_scoring.read_ranks(lm_scoring.VOCABULARY)
+    alone = tiktoken.Encoding("alone", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    words = ["the", "a\u00a0b", "\u3000", "\x00", "\x85x", "\ufffd", "Ünïcode", "日本語のテキスト", "x" * 5000, "'s", "123456", "\u2028", "the", "🙂🙂", "<|endoftext|>"]
+    calls, encoder = [], lm_scoring.Encoder(ranks)
+    encoder(["warm"])
+    core = encoder.core
+
+    class Spy:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or getattr(core, name)(*a)
+
+    encoder.core = Spy()
+    ids, size = encoder(words)
+    want = [alone.encode_ordinary(" " + w) for w in words]
+    assert size.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x] and len(calls) == 1
+    assert [len(x) for x in encoder([])] == [0, 0]
+
+
 def test_lm_is_a_distribution_and_windows_score_once(small):
     counts = np.array([1, 31, 32, 33, 57, 100])
     first = np.cumsum(counts) - counts
