@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 
 from codestrata.operators.parse import COUNTED
 from codestrata.parsers import registry
+from codestrata.parsers.apart import LEAVES, Apart, Ended
+
+_beside = Apart(registry.parse_source)
 
 
 def parsed(kind: str | None, content: str | None) -> dict | None:
     try:
+        if kind in LEAVES:
+            return _beside(len(content or ""), kind, content or "")
         return registry.parse_source(kind or "", content or "")
+    except Ended:
+        raise
     except Exception:  # whatever a parser raises is the text's fault
         return None
 

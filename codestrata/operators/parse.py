@@ -17,27 +17,59 @@ from pyspark.sql import functions as F
 from codestrata import schemas
 from codestrata.functions import markup as M
 from codestrata.functions import paths as P
+from codestrata.operators import factrows
 from codestrata.parsers import registry
+from codestrata.parsers.apart import LEAVES, Apart
 
 NATIVE = ("markup", "stylesheet")
 
 
-def _parse_batches(parsers: dict):
+def _each_batch(parsers: dict, made, build):
+    """A map over batches: ``made(records and errors)`` of a batch's texts, where their parsers may leave things behind in a process beside
+    this one, then ``build(batch, made)``."""
+
+    def work(kinds: list, contents: list):
+        return made(_records(parsers, kinds, contents))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            facts, errors = [], []
-            for kind, content in zip(batch.column("type").to_pylist(), batch.column("content").to_pylist()):
-                try:
-                    facts.append(json.dumps(parsers[kind](content or "") if kind in parsers else {}, ensure_ascii=False))
-                    errors.append(None)
-                except Exception as e:  # one file's failure is that file's error, whatever it is
-                    facts.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:500])
-            yield pa.RecordBatch.from_arrays([batch.column("repo_id"), batch.column("path"), batch.column("type"), pa.array(facts, pa.string()), pa.array(errors, pa.string())], names=["repo_id", "path", "type", "json", "error"])
+        apart = Apart(work)
+        try:
+            for batch in batches:
+                kinds, contents = batch.column("type").to_pylist(), batch.column("content").to_pylist()
+                leaves = not LEAVES.isdisjoint(kinds)
+                yield build(batch, apart(sum(len(c or "") for c in contents), kinds, contents) if leaves else work(kinds, contents))
+        finally:
+            apart.close()
 
     return run
 
 
+def _records(parsers: dict, kinds: list, contents: list) -> Iterator[tuple[dict | None, str | None]]:
+    for kind, content in zip(kinds, contents):
+        try:
+            yield parsers[kind](content or "") if kind in parsers else {}, None
+        except Exception as e:  # one file's failure is that file's error, whatever it is
+            yield None, f"{type(e).__name__}: {e}"[:500]
+
+
+def _parse_batches(parsers: dict):
+    def made(records):
+        facts, errors = [], []
+        for record, error in records:
+            try:
+                facts.append(None if record is None else json.dumps(record, ensure_ascii=False))
+            except Exception as e:
+                facts.append(None)
+                error = f"{type(e).__name__}: {e}"[:500]
+            errors.append(error)
+        return facts, errors
+
+    def build(batch, found):
+        return pa.RecordBatch.from_arrays([batch.column("repo_id"), batch.column("path"), batch.column("type"), pa.array(found[0], pa.string()), pa.array(found[1], pa.string())], names=["repo_id", "path", "type", "json", "error"])
+
+    return _each_batch(parsers, made, build)
+
+
 def _native(files: DataFrame) -> DataFrame:
     text, html = F.coalesce(F.col("content"), F.lit("")), F.col("type") == "markup"
     source = F.when(html, M.html_imports(text)).otherwise(M.css_imports(text))
@@ -71,6 +103,10 @@ def _parseable(files: DataFrame) -> DataFrame:
     return files.filter(~P.is_pruned(F.col("path"))).withColumn("type", P.file_type(F.col("path"))).filter(P.is_parseable(F.col("type")))
 
 
+def _wide(d: DataFrame, present: set[str]) -> DataFrame:
+    return d.select("repo_id", "path", "type", *[(F.col("facts")[k] if k in present else F.lit(None).cast(f"array<{v}>")).alias(k) for k, v in schemas.FACTS.items()], (F.col("facts")["detail"] if "detail" in present else F.lit(None).cast(schemas.DETAIL)).alias("detail"), "error")
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """repo_id, path, type, facts..., detail, error for every parseable file (repo_id, path, content). Texts stay where their partitions are."""
     t = _parseable(files)
@@ -78,8 +114,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     parsed = other.mapInArrow(_parse_batches(dict(registry.PARSERS)), "repo_id string, path string, type string, json string, error string")
     parsed = parsed.select("repo_id", "path", "type", F.from_json("json", schemas.RECORD).alias("facts"), "error")
     native = _native(t.filter(F.col("type").isin(*NATIVE)))
-    wide = lambda d, present: d.select("repo_id", "path", "type", *[(F.col("facts")[k] if k in present else F.lit(None).cast(f"array<{v}>")).alias(k) for k, v in schemas.FACTS.items()], (F.col("facts")["detail"] if "detail" in present else F.lit(None).cast(schemas.DETAIL)).alias("detail"), "error")
-    return wide(parsed, {*schemas.FACTS, "detail"}).unionByName(wide(native, {"imports", "exports"}))
+    return _wide(parsed, {*schemas.FACTS, "detail"}).unionByName(_wide(native, {"imports", "exports"}))
 
 
 def records(parsed: DataFrame) -> DataFrame:
@@ -105,6 +140,32 @@ def details(parsed: DataFrame, field: str) -> DataFrame:
     return parsed.select("repo_id", F.col("path").alias("file_path"), F.posexplode(F.col("detail")[field]).alias("ord", "f")).select("repo_id", "file_path", "ord", "f.*")
 
 
+def _row_batches(parsers: dict):
+    def made(records):
+        at, kinds, names, extras = [], [], [], []
+        for i, (record, _) in enumerate(records):
+            for kind, name, extra in factrows.rows(record) if record else ():
+                at.append(i)
+                kinds.append(kind)
+                names.append(name)
+                extras.append(extra)
+        return at, kinds, names, extras
+
+    def build(batch, found):
+        at = pa.array(found[0], pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column("repo_id").take(at), batch.column("path").take(at), *[pa.array(x, pa.string()) for x in found[1:]]], names=["repo_id", "file_path", "kind", "name", "extra"])
+
+    return _each_batch(parsers, made, build)
+
+
+def facts_of(files: DataFrame) -> DataFrame:
+    """``fact_table(records(parse_files(files)))``, its rows made where the texts are parsed: no record is written as JSON and typed again."""
+    t = _parseable(files)
+    other = t.filter(~F.col("type").isin(*NATIVE)).select("repo_id", "path", "type", "content")
+    rows = other.mapInArrow(_row_batches(dict(registry.PARSERS)), "repo_id string, file_path string, kind string, name string, extra string")
+    return rows.unionByName(fact_table(_wide(_native(t.filter(F.col("type").isin(*NATIVE))), {"imports", "exports"})))
+
+
 def fact_table(parsed: DataFrame) -> DataFrame:
     """All facts as rows (repo_id, file_path, kind, name, extra): one pass, one explode."""
     text = F.array().cast("array<struct<kind:string,name:string,extra:string>>")
@@ -171,21 +232,15 @@ COUNTED = ("imports", "exports", "functions", "classes", "routes", "tables", "vi
 
 
 def _count_batches(parsers: dict):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[int, ...]] = []
-            repos = []
-            for repo, kind, content in zip(batch.column("repo_id").to_pylist(), batch.column("type").to_pylist(), batch.column("content").to_pylist()):
-                try:
-                    record = parsers[kind](content or "") if kind in parsers else {}
-                except Exception:  # one file's failure is that file's error, whatever it is
-                    continue
-                repos.append(repo)
-                rows.append(tuple(len(record.get(k) or ()) for k in COUNTED))
-            columns = zip(*rows) if rows else [()] * len(COUNTED)
-            yield pa.RecordBatch.from_arrays([pa.array(repos, pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["repo_id", *COUNTED])
+    def made(records):
+        return [None if record is None else tuple(len(record.get(k) or ()) for k in COUNTED) for record, _ in records]
 
-    return run
+    def build(batch, found):
+        repos = [r for r, n in zip(batch.column("repo_id").to_pylist(), found) if n is not None]
+        columns = list(zip(*(n for n in found if n is not None))) or [()] * len(COUNTED)
+        return pa.RecordBatch.from_arrays([pa.array(repos, pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["repo_id", *COUNTED])
+
+    return _each_batch(parsers, made, build)
 
 
 def fact_counts(files: DataFrame) -> DataFrame:

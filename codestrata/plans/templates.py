@@ -33,13 +33,12 @@ class Case:
 
     def files(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         holes = sorted({x for text in (self.path, self.text) for x in _HOLE.findall(text)})
-        # the few columns a text is made of are spread, not texts
-        t = table(spark, sf_dir, self.source).select(*holes).repartition(spark.sparkContext.defaultParallelism)
+        # the few columns a text is made of are spread, not texts; to several tasks a core, so that a slow one keeps no core waiting
+        t = table(spark, sf_dir, self.source).select(*holes).repartition(4 * spark.sparkContext.defaultParallelism)
         return t.select(F.lit("r").alias("repo_id"), spark_text(self.path).alias("path"), spark_text(self.text).alias("content"))
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        parsed = parse.parse_files(self.files(spark, sf_dir))
-        return parse.fact_table(parse.records(parsed)).select("file_path", "kind", "name", "extra")
+        return parse.facts_of(self.files(spark, sf_dir)).select("file_path", "kind", "name", "extra")
 
     def sql(self) -> str:
         rows = ", ".join(f"{{'kind': '{k}', 'name': {sql_text(n)}, 'extra': {sql_text(e)}}}" for k, n, e in self.expected)
