@@ -142,8 +142,10 @@ def file_blocks(p: DataFrame) -> DataFrame:
 
 def route_lines(p: DataFrame) -> DataFrame:
     """repo_id, a, b, line."""
-    rows = _by_fact(p, "routes", lambda r, path: _text(P.pad(r["method"], 6), P.pad(r["path"], 25), ARROW, path, ":", F.coalesce(r["line"].cast("string"), F.lit(""))))
-    return rows.join(_each(p, "routes").filter("f.method <> '' AND f.path <> ''").select("repo_id", F.col("file_ord").alias("a"), F.col("i").alias("b")), ["repo_id", "a", "b"], "left_semi")
+    e = _each(p, "routes").filter("f.method <> '' AND f.path <> ''")
+    r = F.col("f")
+    line = _text(P.pad(r["method"], 6), P.pad(r["path"], 25), ARROW, F.col("path"), ":", F.coalesce(r["line"].cast("string"), F.lit("")))
+    return e.select("repo_id", F.col("file_ord").alias("a"), F.col("i").alias("b"), line.alias("line"))
 
 
 def table_block(t: Column, path: Column) -> Column:
