@@ -37,7 +37,7 @@ print(size() - before)
 def test_a_worker_does_not_grow_with_the_sources_it_has_seen(batches):
     repo = Path(__file__).resolve().parents[1]
     out = subprocess.run([sys.executable, "-c", GROWTH % batches], cwd=repo, capture_output=True, text=True, timeout=120, check=True)
-    assert int(out.stdout) < 8  # MB; 320,000 names kept for good are about 20
+    assert int(out.stdout) < 8  # MB; with 320,000 names kept for good it was 13
 
 
 def test_the_process_beside_is_replaced_and_says_what_went_wrong():
